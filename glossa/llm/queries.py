@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import decontaminate, packing, quality, tokens
 
 QUERIES = {
     "op1_token_store": tokens.op1_token_store,
+    "op3_decontamination": decontaminate.op3_decontamination,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op10_quality_rules": quality.op10_quality_rules,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontaminate.OP3_SQL,
+    "op10_quality_rules": quality.OP10_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
