@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int = END_ID) -
             )
             slot += len(part)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.mapInArrow(cut, "doc_id long, n_tokens long, rest int, crcs array<long>, slot int")
 
 

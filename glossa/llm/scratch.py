@@ -60,11 +60,17 @@ def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     return spark.table(table)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a row key (k1, k2) without nulls: repeated ids with other texts stay apart; a null id counts as the smallest."""
-    return docs.select(
+def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, text and a row key (k1, k2) without nulls: repeated ids with other texts stay apart; a null id counts as the smallest.
+
+    carry: also ``rest``, a struct of all columns but the text, whatever their names.
+    """
+    columns = [
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        F.col("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k1"),
         F.xxhash64(F.col("text"), F.col("doc_id").isNull()).alias("k2"),
-    )
+    ]
+    if carry:
+        columns.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"))
+    return docs.select(*columns)
