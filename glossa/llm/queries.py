@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, neardup, packing, quality, rollup, substrings, suffixes, tokens
+from . import chat, decontaminate, neardup, packing, quality, rollup, substrings, suffixes, tokens, urls
 
 QUERIES = {
     "op1_token_store": tokens.op1_token_store,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_token_rollup": rollup.op4_token_rollup,
+    "op5_url_filter": urls.op5_url_filter,
     "op6_suffix_array_dedup": suffixes.op6_suffix_array_dedup,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
