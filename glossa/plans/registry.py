@@ -1,6 +1,460 @@
-"""All registered queries of the text-analytics operators."""
+"""All registered queries of the text-analytics operators, and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import graph, keywords, linguistics, supervised, terms, topics, weights, wikitext
+from ..sources import sinks
+
+TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{Nl}\p{No}]+')"
+CASED = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{Nl}\p{No}]+')"
+TF = f"""t AS (SELECT doc_id, {TOK} AS tok FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf, max(doc_len) AS doc_len FROM (SELECT doc_id, len(tok) AS doc_len, unnest(tok) AS term FROM t) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df, sum(tf) AS ttf FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents)"""
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return add
+
+
+# --- significant terms ----------------------------------------------------------
+
+
+@query(
+    "sigterms_lift_top5",
+    f"""WITH {TF}, s AS (SELECT doc_id, term, (tf / doc_len) / (ttf / (SELECT sum(ttf) FROM df)) AS score FROM tf JOIN df USING (term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s) SELECT doc_id, term, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
+)
+def sigterms_lift(spark, sf_dir):
+    return _rounded(terms.lift(_docs(spark, sf_dir)), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    "sigterms_lift_one_document",
+    f"""WITH {TF}, s AS (SELECT doc_id, term, (tf / doc_len) / (ttf / (SELECT sum(ttf) FROM df)) AS score FROM tf JOIN df USING (term) WHERE doc_id = 7)
+SELECT term, round(score, 6) AS score FROM s ORDER BY s.score DESC, term LIMIT 20""",
+)
+def sigterms_one(spark, sf_dir):
+    return _rounded(terms.lift(_docs(spark, sf_dir), n=20, doc_id=7).select("term", "score"), "score")
+
+
+@query(
+    "sigterms_tf_weighted",
+    f"""WITH {TF}, s AS (SELECT doc_id, term, tf * -log2(df / n) AS score FROM tf JOIN df USING (term), n),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, term) AS rank FROM s) SELECT doc_id, term, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
+)
+def sigterms_weighted(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    tf = terms.term_frequencies(docs).join(terms.idf_log2(docs), "term").select("doc_id", "term", F.round(F.col("tf") * F.col("weight"), 6).alias("score"))
+    return terms.top(tf, 5, "doc_id", F.desc("score"), F.asc("term")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("sigterms_tf", f"WITH {TF}, r AS (SELECT doc_id, term, CAST(tf AS DOUBLE) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rank FROM tf) SELECT * FROM r WHERE rank <= 5")
+def sigterms_tf(spark, sf_dir):
+    return terms.weighted(_docs(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+# --- term statistics ---------------------------------------------------------------
+
+
+@query("term_frequencies", f"WITH {TF} SELECT doc_id, term, tf, doc_len FROM tf")
+def term_frequencies(spark, sf_dir):
+    return terms.term_frequencies(_docs(spark, sf_dir))
+
+
+@query("token_counts", f"WITH {TF} SELECT term, round(ttf / (SELECT sum(ttf) FROM df), 9) AS weight FROM df WHERE ttf >= 2")
+def token_counts(spark, sf_dir):
+    return _rounded(terms.relative_frequency(terms.term_counts(_docs(spark, sf_dir)), min_count=2), "weight", digits=9)
+
+
+@query("doc_freq_ratio", f"WITH {TF} SELECT term, round(df / n, 9) AS weight FROM df, n")
+def doc_freq_ratio(spark, sf_dir):
+    return _rounded(terms.document_ratio(_docs(spark, sf_dir)), "weight", digits=9)
+
+
+@query("vocab_filter", f"WITH {TF}, v AS (SELECT term, df FROM df, n WHERE df >= 5 AND df <= 0.5 * n ORDER BY df DESC, term LIMIT 100000) SELECT row_number() OVER (ORDER BY df DESC, term) - 1 AS id, term, df FROM v")
+def vocab_filter(spark, sf_dir):
+    return terms.vocabulary(_docs(spark, sf_dir))
+
+
+@query("idf_log2", f"WITH {TF} SELECT term, round(-log2(df / n), 6) AS weight FROM df, n")
+def idf_log2(spark, sf_dir):
+    return _rounded(terms.idf_log2(_docs(spark, sf_dir)), "weight").withColumn("weight", F.col("weight") + 0.0)
+
+
+@query("tfidf_l2", f"WITH {TF}, w AS (SELECT doc_id, term, tf * -log2(df / n) AS w FROM tf JOIN df USING (term), n) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w WHERE w <> 0")
+def tfidf_l2(spark, sf_dir):
+    return _rounded(terms.tfidf(_docs(spark, sf_dir)), "weight")
+
+
+@query("bag_of_words", f"WITH {TF}, v AS (SELECT term, df FROM df, n WHERE df >= 5 AND df <= 0.5 * n), i AS (SELECT row_number() OVER (ORDER BY df DESC, term) - 1 AS id, term FROM v) SELECT doc_id, id, term, tf FROM tf JOIN i USING (term)")
+def bag_of_words(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return topics.bags(docs, terms.vocabulary(docs))
+
+
+@query("corpus_size", "SELECT count(*) AS docs, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM documents")
+def corpus_size(spark, sf_dir):
+    return _docs(spark, sf_dir).agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"))
+
+
+STOP = ["the", "and", "of", "le", "la", "der", "die"]
+
+
+@query("content_words", f"SELECT doc_id, CAST(len(list_filter({TOK}, lambda x: length(x) > 1 AND x NOT IN ({', '.join(repr(s) for s in STOP)}))) AS BIGINT) AS n FROM documents")
+def content_words(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(tx.content_words(tx.letters(F.col("text")), STOP)).cast("long").alias("n"))
+
+
+@query("doc_filters", "SELECT doc_id, length(text) AS n FROM documents WHERE NOT starts_with(text, '#REDIRECT') AND length(text) >= 30")
+def doc_filters(spark, sf_dir):
+    return _docs(spark, sf_dir).where(~F.col("text").startswith("#REDIRECT") & (F.length("text") >= 30)).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+# --- providers -----------------------------------------------------------------------
+
+ASKED = ["the", "and", "la", "der", "no-such-term", "the", "que"]
+_ASKED_SQL = f"q AS (SELECT * FROM (VALUES {', '.join(f'({i}, {w!r})' for i, w in enumerate(ASKED))}) AS x(pos, term))"
+
+
+def _provider(name: str, expression: str, missing="ignore", **options):
+    join = "LEFT JOIN" if not isinstance(missing, str) else "JOIN"
+    source = "weight" if isinstance(missing, str) else f"coalesce(weight, {missing})"
+    sql = f"WITH {TF}, {_ASKED_SQL}, p AS (SELECT term, ttf / (SELECT sum(ttf) FROM df) AS weight FROM df) SELECT CAST(pos AS BIGINT) AS pos, term, round({expression.format(x=source)}, 6) AS weight FROM q {join} p USING (term)"
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        asked = spark.createDataFrame(list(enumerate(ASKED)), "pos long, term string")
+        provider = weights.CountWeights(terms.term_counts(_docs(spark, sf_dir)), missing=missing, **options)
+        return _rounded(provider.weights(asked).select("pos", "term", "weight"), "weight")
+
+
+_provider("weights_plain", "{x}")
+_provider("weights_inverse", "1 / ({x})", inverse=True)
+_provider("weights_sublinear", "ln({x})", sublinear=True)
+_provider("weights_inverse_sublinear", "ln(1 / ({x}))", inverse=True, sublinear=True)
+_provider("weights_missing_default", "1 / ({x})", missing=0.25, inverse=True)
+
+
+@query("weights_document_ratio", f"WITH {TF}, {_ASKED_SQL} SELECT CAST(pos AS BIGINT) AS pos, term, round(df / n, 9) AS weight FROM q JOIN df USING (term), n")
+def weights_document_ratio(spark, sf_dir):
+    asked = spark.createDataFrame(list(enumerate(ASKED)), "pos long, term string")
+    return _rounded(weights.DocumentRatioWeights(_docs(spark, sf_dir), missing="ignore").weights(asked).select("pos", "term", "weight"), "weight", digits=9)
+
+
+@query("weights_idf", f"WITH {TF}, {_ASKED_SQL} SELECT CAST(pos AS BIGINT) AS pos, term, round(-log2(df / n) * count(*) OVER (PARTITION BY term), 6) AS weight FROM q JOIN df USING (term), n WHERE df < n")
+def weights_idf(spark, sf_dir):
+    asked = spark.createDataFrame(list(enumerate(ASKED)), "pos long, term string")
+    return _rounded(weights.IdfWeights(_docs(spark, sf_dir), missing="ignore").weights(asked).select("pos", "term", "weight"), "weight")
+
+
+# --- supervised weights ---------------------------------------------------------------
+
+_SUPERVISED = f"""WITH y AS (SELECT DISTINCT doc_id, CAST(quality * 2 + toxic AS BIGINT) AS class FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+e AS (SELECT DISTINCT doc_id, unnest({TOK}) AS term FROM documents WHERE doc_id IN (SELECT doc_id FROM y)),
+x AS (SELECT * FROM e WHERE term IN (SELECT term FROM e GROUP BY term HAVING count(*) >= 5)),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM y), m AS (SELECT class, count(*) AS m1 FROM y GROUP BY class), k AS (SELECT term, count(*) AS n1 FROM x GROUP BY term),
+b AS (SELECT term, class, count(*) AS n11 FROM x JOIN y USING (doc_id) GROUP BY term, class),
+t AS (SELECT term, class, coalesce(n11, 0) AS n11, n1, m1, n, n1 / n AS pt, m1 / n AS pc FROM k CROSS JOIN m CROSS JOIN n LEFT JOIN b USING (term, class)),
+s AS (SELECT *, CASE WHEN n11 = 0 THEN 1e-12 ELSE n11 END AS c11, CASE WHEN n1 = n11 THEN 1e-12 ELSE n1 - n11 END AS c10, CASE WHEN m1 = n11 THEN 1e-12 ELSE m1 - n11 END AS c01,
+      CASE WHEN n - n1 - m1 + n11 = 0 THEN 1e-12 ELSE n - n1 - m1 + n11 END AS c00 FROM t),
+f AS (SELECT *, c11 / sum(c11) OVER () AS j, c11 / sum(c11 + c10 + c01 + c00) OVER () AS q11, c10 / sum(c11 + c10 + c01 + c00) OVER () AS q10,
+      c01 / sum(c11 + c10 + c01 + c00) OVER () AS q01, c00 / sum(c11 + c10 + c01 + c00) OVER () AS q00 FROM s)"""
+_PART = "CASE WHEN ({a}) > 0 THEN {q} * ln({q} / ({a})) END"
+_MI = " + ".join(_PART.format(q=q, a=a) for q, a in (("q11", "pt * pc"), ("q10", "pt * (1 - pc)"), ("q01", "(1 - pt) * pc"), ("q00", "(1 - pt) * (1 - pc)")))
+_METHODS = {
+    "mi": f"sum({_MI})",
+    "pmi": "max(ln(j / (pt * pc)))",
+    "npmi": "max(ln(j / (pt * pc)) / -ln(j))",
+    "ppmi_exp": "max(exp(ln(j / (pt * pc)) / -ln(j)))",
+    "pmi_k": "max(ln(pow(j, 2) / (pt * pc)) / -ln(pow(j, 2)))",
+    "ppmi": "max(greatest(ln(j / (pt * pc)), 0))",
+    "cp_raw": "max(j / pt)",
+    "cp_ratio": "max(j / (pt * pc))",
+}
+
+
+def _matrix(spark, sf_dir):
+    y = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null and toxic is not null").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).cast("long").alias("class")).distinct()
+    x = _docs(spark, sf_dir).join(y.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(tx.letters(F.col("text")))).alias("term"))
+    often = x.groupBy("term").count().where("count >= 5").select("term")
+    return x.join(often, "term").select("doc_id", "term", F.lit(1).alias("cnt")), y
+
+
+def _supervised(method: str):
+    @query(f"weights_{method}", f"{_SUPERVISED} SELECT term, round({_METHODS[method]}, 6) AS weight FROM f GROUP BY term")
+    def run(spark, sf_dir):
+        return _rounded(supervised.term_weights(*_matrix(spark, sf_dir), method), "weight")
+
+
+for _method in supervised.METHODS:
+    _supervised(_method)
+
+
+@query("weighted_matrix", f"{_SUPERVISED}, w AS (SELECT term, max(ln(j / (pt * pc))) AS weight FROM f GROUP BY term) SELECT doc_id, term, round(weight, 6) AS weight FROM x JOIN w USING (term)")
+def weighted_matrix(spark, sf_dir):
+    x, y = _matrix(spark, sf_dir)
+    return _rounded(supervised.TermWeighting("pmi").fit(x, y).transform(x), "weight")
+
+
+@query("contingency", f"{_SUPERVISED} SELECT term, class, CAST(n11 AS BIGINT) AS n11, n1, m1, n FROM t")
+def contingency(spark, sf_dir):
+    return supervised.tables(*_matrix(spark, sf_dir)).select("term", "class", F.col("n11").cast("long").alias("n11"), F.col("n1").cast("long").alias("n1"), F.col("m1").cast("long").alias("m1"), "n")
+
+
+# --- collocations and keywords -----------------------------------------------------------
+
+_LLR = """{t} AS (SELECT doc_id, {tok} AS tok FROM documents),
+u AS (SELECT doc_id, w, CAST(count(*) AS DOUBLE) AS c FROM (SELECT doc_id, unnest(tok) AS w FROM k0) GROUP BY doc_id, w),
+p AS (SELECT doc_id, w1, w2, CAST(count(*) AS DOUBLE) AS a, CAST(max(n) AS DOUBLE) AS n FROM (SELECT doc_id, len(tok) AS n, unnest(tok[1:len(tok) - 1]) AS w1, unnest(tok[2:len(tok)]) AS w2 FROM k0 WHERE len(tok) > 1) GROUP BY doc_id, w1, w2),
+o AS (SELECT p.*, y.c - a AS b, x.c - a AS c, n - a - (y.c - a) - (x.c - a) AS d FROM p JOIN u x ON x.doc_id = p.doc_id AND x.w = w1 JOIN u y ON y.doc_id = p.doc_id AND y.w = w2),
+l AS (SELECT doc_id, w1, w2, 2 * (a * ln(a / ((a + c) * (a + b) / n + 1e-20) + 1e-20) + b * ln(b / ((a + b) * (b + d) / n + 1e-20) + 1e-20) + c * ln(c / ((a + c) * (c + d) / n + 1e-20) + 1e-20) + d * ln(d / ((b + d) * (c + d) / n + 1e-20) + 1e-20)) AS score FROM o),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, w1, w2) AS rank FROM l)"""
+
+
+@query("bigram_llr_top50", "WITH " + _LLR.format(t="k0", tok=TOK) + " SELECT doc_id, w1, w2, round(score, 5) AS score, rank FROM k WHERE rank <= 50")
+def bigram_llr(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", tx.letters(F.col("text")).alias("tokens"))
+    return _rounded(keywords.collocations(rows), "score", digits=5).withColumn("rank", F.col("rank").cast("long"))
+
+
+_TAG = r"CASE WHEN regexp_matches(w, '^\p{Lu}') THEN 'P' WHEN length(w) <= 3 THEN 'o' WHEN regexp_matches(w, '(able|ble|ion|lich|ung|que|ado)$') THEN 'A' ELSE 'N' END"
+
+
+@query(
+    "np_chunks",
+    f"""WITH t AS (SELECT doc_id, {CASED} AS tok FROM documents), w AS (SELECT doc_id, unnest(tok) AS w, unnest(generate_series(1, len(tok))) AS i FROM t),
+s AS (SELECT doc_id, string_agg({_TAG}, '' ORDER BY i) AS tags, list(w ORDER BY i) AS tok FROM w GROUP BY doc_id),
+r AS (SELECT doc_id, tok, regexp_extract_all(tags, 'A*N+|P+|.') AS runs FROM s),
+u AS (SELECT doc_id, tok, unnest(runs) AS run, unnest(generate_series(1, len(runs))) AS i FROM r),
+o AS (SELECT *, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i) - length(run) AS pos FROM u)
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, array_to_string(tok[pos + 1:pos + length(run)], ' ') AS phrase FROM o WHERE regexp_matches(run, '[NP]')""",
+)
+def np_chunks(spark, sf_dir):
+    tagged = F.transform(tx.cased_letters(F.col("text")), lambda t: F.struct(t.alias("token"), keywords.rule_tagger(t).alias("tag")))
+    found = keywords.noun_phrases(_docs(spark, sf_dir).select("doc_id", tagged.alias("tagged")), ["doc_id"])
+    return found.select("doc_id", F.col("at").cast("long").alias("pos"), F.array_join("phrase", " ").alias("phrase"))
+
+
+@query("kera_keywords")
+def kera_keywords(spark, sf_dir):
+    return _rounded(keywords.kera(_docs(spark, sf_dir)), "score")
+
+
+# --- linguistics ----------------------------------------------------------------------------
+
+_FORMS = [("skildre", "verb", "inf"), ("det", "pron", "pers|3|nøyt|eint"), (",", "<komma>", "_"), ("hus", "subst", "appell|nøyt"), ("Oslo", "subst", "prop"), ("vi", "pron", "pers"), ("1998", "det", "kvant"), ("sies", "verb", "pass"), ("II", "det", "<romertall>"), ("og", "konj", ""), ("km", "subst", "symb"), ("km", "subst", "sym"), ("at", "sbu", None), ("på", "prep", ""), ("å", "inf-merke", ""), ("hm", "ukjent", "")]
+_FORMS_SQL = "f AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _FORMS) + ") AS v(form, pos, feats)), g AS (SELECT *, string_split(coalesce(feats, ''), '|') AS fs FROM f)"
+_PUNCT_SQL = ", ".join(f"'{p}'" for p in linguistics.PUNCTUATION)
+_NAME_SQL = "list_has_any(fs, [" + ", ".join(f"'{p}'" for p in linguistics.NAME) + "])"
+
+
+@query(
+    "tag_universal",
+    f"""WITH {_FORMS_SQL} SELECT form, pos, feats, CASE WHEN regexp_matches(form, '[0-9]') THEN 'NUM' WHEN pos = 'adj' THEN 'ADJ' WHEN pos = 'adv' THEN 'ADV' WHEN pos = 'konj' THEN 'CONJ'
+WHEN pos = 'det' AND list_has_any(fs, ['<romertall>', '<romartal>']) THEN 'NUM' WHEN pos = 'det' THEN 'DET' WHEN pos = 'interj' THEN 'INTJ' WHEN pos = 'subst' AND {_NAME_SQL} THEN 'PROPN'
+WHEN pos = 'subst' AND list_contains(fs, 'symb') THEN 'SYM' WHEN pos = 'subst' THEN 'NOUN' WHEN pos = 'pron' THEN 'PRON' WHEN pos IN ({_PUNCT_SQL}) THEN 'PUNCT' WHEN pos = 'sbu' THEN 'SCONJ'
+WHEN pos = 'symb' THEN 'SYM' WHEN pos IN ('inf-merke', 'verb') THEN 'VERB' WHEN pos = 'prep' THEN 'ADP' ELSE 'X' END AS tag FROM g""",
+)
+def tag_universal(spark, sf_dir):
+    rows = spark.createDataFrame(_FORMS, "form string, pos string, feats string")
+    return rows.withColumn("tag", linguistics.universal_tag(F.col("form"), F.col("pos"), F.col("feats")))
+
+
+@query(
+    "tag_simple",
+    f"""WITH {_FORMS_SQL} SELECT form, pos, feats, CASE WHEN regexp_matches(form, '[0-9]') THEN 'NUM' WHEN pos = 'det' AND list_has_any(fs, ['<romertall>', '<romartal>']) THEN 'NUM' WHEN pos IN ({_PUNCT_SQL}) THEN 'PUNKT'
+WHEN pos = 'pron' AND list_has_any(fs, ['sp', 'pers', 'poss', 'refl']) THEN 'PRON_' || upper(list_filter(fs, lambda x: x IN ('sp', 'pers', 'poss', 'refl'))[1]) WHEN pos = 'subst' AND list_contains(fs, 'sym') THEN 'SYMB'
+WHEN pos = 'subst' AND {_NAME_SQL} THEN 'SUBST_PROP' WHEN pos = 'verb' AND list_contains(fs, 'pass') THEN 'VERB_PASS' ELSE upper(pos) END AS tag FROM g""",
+)
+def tag_simple(spark, sf_dir):
+    rows = spark.createDataFrame(_FORMS, "form string, pos string, feats string")
+    return rows.withColumn("tag", linguistics.simple_tag(F.col("form"), F.col("pos"), F.col("feats")))
+
+
+@query("tag_full", f"WITH {_FORMS_SQL} SELECT form, pos, feats, pos || CASE WHEN trim(coalesce(feats, '')) <> '' THEN '_' || feats ELSE '' END AS tag FROM g")
+def tag_full(spark, sf_dir):
+    rows = spark.createDataFrame(_FORMS, "form string, pos string, feats string")
+    return rows.withColumn("tag", linguistics.full_tag(F.col("form"), F.col("pos"), F.col("feats")))
+
+
+_LEXICON = [("the", "DET", "the", 1), ("The", "PRON", "they", 2), ("les", "DET", "le", 3), ("des", "DET", "de", 4), ("des", "PREP", "du", 5), ("and", "KONJ", "and", 6), ("und", "KONJ", "und", 7), ("la", "PRON", "elle", 9), ("la", "DET", "le", 8)]
+
+
+@query(
+    "lemmatize_last_match",
+    f"""WITH l AS (SELECT * FROM (VALUES {', '.join(repr(x) for x in _LEXICON)}) AS v(fullform, pos, lemma, line_no)), m AS (SELECT lower(fullform) AS term, arg_max(lemma, line_no) AS lemma FROM l GROUP BY 1),
+e AS (SELECT unnest({CASED}) AS token FROM documents) SELECT coalesce(m.lemma, lower(token)) AS lemma, count(*) AS n FROM e LEFT JOIN m ON m.term = lower(token) GROUP BY 1""",
+)
+def lemmatize(spark, sf_dir):
+    lexicon = spark.createDataFrame(_LEXICON, "fullform string, pos string, lemma string, line_no long")
+    tokens = _docs(spark, sf_dir).select(F.explode(tx.cased_letters(F.col("text"))).alias("token"))
+    return linguistics.lemmatise(tokens, lexicon).groupBy("lemma").agg(F.count("*").alias("n"))
+
+
+@query(
+    "decompound_best",
+    f"""WITH RECURSIVE {TF}, x AS (SELECT term FROM df WHERE length(term) BETWEEN 3 AND 6 AND df >= 10), w AS (SELECT term AS word FROM df WHERE length(term) > 6 AND df >= 3),
+r AS (SELECT word, 0 AS pos, [] :: VARCHAR[] AS parts, [] :: BIGINT[] AS sizes FROM w
+      UNION ALL SELECT r.word, r.pos + length(x.term), list_append(r.parts, x.term), list_append(r.sizes, length(x.term)) FROM r JOIN x ON substr(r.word, r.pos + 1, length(x.term)) = x.term WHERE r.pos < length(r.word)),
+b AS (SELECT word, arg_min(parts, (len(parts), sizes)) AS parts FROM r WHERE pos = length(word) GROUP BY word)
+SELECT word, array_to_string(parts, '+') AS parts FROM w LEFT JOIN b USING (word)""",
+)
+def decompound(spark, sf_dir):
+    found = terms.document_frequency(terms.term_frequencies(_docs(spark, sf_dir)))
+    lexicon = found.where("length(term) between 3 and 6 and df >= 10").select(F.col("term").alias("fullform"), F.lit("SUBST").alias("pos"))
+    words = found.where("length(term) > 6 and df >= 3").select(F.col("term").alias("word"))
+    return linguistics.decompound(words, lexicon).select("word", F.array_join("parts", "+").alias("parts"))
+
+
+@query("hmm_tag")
+def hmm_tag(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumn("tokens", tx.cased_letters(F.col("text")))
+    train = docs.select(F.col("doc_id").alias("sent_id"), F.posexplode("tokens").alias("at", "token")).withColumn("tag", keywords.rule_tagger(F.col("token")))
+    model = linguistics.HmmTagger.train(train)  # tagged by rule, the corpus stands in for a treebank
+    tagged = docs.select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s")).select("doc_id", model.tagged(tx.cased_letters(F.col("s"))).alias("t"))
+    return tagged.select("doc_id", F.explode("t").alias("t")).groupBy("doc_id", F.col("t.tag").alias("tag")).agg(F.count("*").alias("n"))
+
+
+# --- topics ------------------------------------------------------------------------------------
+
+
+@query(
+    "topic_hits_top5",
+    f"""WITH {TF}, q AS (SELECT DISTINCT item_id AS query, unnest({TOK}) AS term FROM benchmark), a AS (SELECT query, count(*) AS asked FROM q GROUP BY query),
+h AS (SELECT query, doc_id, sum(sqrt(tf) * pow(1 + ln(n / (df + 1)), 2) / sqrt(doc_len)) AS s, count(*) AS matched FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY query, doc_id),
+r AS (SELECT query, doc_id, round(matched / asked * s, 6) AS score FROM h JOIN a USING (query)), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM r) SELECT query, doc_id, score, rank FROM k WHERE rank <= 5""",
+)
+def topic_hits(spark, sf_dir):
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query"), F.explode(tx.letters(F.col("text"))).alias("term"))
+    return topics.hits(asked, _docs(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    "topic_trim",
+    f"""WITH {TF}, l AS (SELECT lang AS topic, term, count(*) AS c FROM tf JOIN documents USING (doc_id) GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY c DESC, term) AS r FROM l QUALIFY r <= 20),
+k AS (SELECT topic, term, count(*) OVER (PARTITION BY topic) AS m, row_number() OVER (PARTITION BY topic ORDER BY df, term) AS rank FROM w JOIN df USING (term)) SELECT topic, term, rank FROM k WHERE rank > floor(m * 0.1) AND rank <= m - floor(m * 0.1)""",
+)
+def topic_trim(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    tf = terms.term_frequencies(docs).join(docs.select("doc_id", "lang"), "doc_id")
+    words = terms.top(tf.groupBy(F.col("lang").alias("topic"), "term").agg(F.count("*").alias("c")), 20, "topic", F.desc("c"), F.asc("term")).select("topic", "term")
+    return topics.trimmed(words, terms.idf_log2(docs)).withColumn("rank", F.col("rank").cast("long")).select("topic", "term", "rank")
+
+
+@query("topic_title_prefix", "SELECT conv_id AS query, turn AS rank, string_agg(role, ' ') OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS prefix FROM conversations")
+def topic_title_prefix(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    before = Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(F.col("conv_id").alias("query"), F.col("turn").alias("rank"), F.array_join(F.collect_list("role").over(before), " ").alias("prefix"))
+
+
+@query("topic_keywords")
+def topic_keywords(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.concat_ws(" ", "source", "lang").alias("title"))
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query"), F.explode(tx.letters(F.col("text"))).alias("term"))
+    return topics.labelled(topics.hits(asked, docs), docs).select("topicid", "titles", "keyword_string")
+
+
+def _bags(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    words = terms.vocabulary(docs, 5, 0.5, 2000)
+    return topics.weighted_bags(docs, words), words
+
+
+@query("lda_topics")
+def lda_topics(spark, sf_dir):
+    rows, words = _bags(spark, sf_dir)
+    return topics.topic_words(topics.lda(rows, 5), words)
+
+
+@query("lsi_topics")
+def lsi_topics(spark, sf_dir):
+    values, _ = topics.lsi(_bags(spark, sf_dir)[0], 5)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "topic int, value double")
+
+
+@query("hdp_approx")
+def hdp_approx(spark, sf_dir):
+    return topics.hdp(_bags(spark, sf_dir)[0], most=10, passes=2)[1]
+
+
+@query("word2vec")
+def word2vec(spark, sf_dir):
+    return topics.word2vec(_docs(spark, sf_dir), size=20).getVectors().select("word", F.col("vector").cast("string").alias("vector"))
+
+
+@query("topic_relevance")
+def topic_relevance(spark, sf_dir):
+    rows, words = _bags(spark, sf_dir)
+    return sinks.relevance(topics.topic_words(topics.lda(rows, 5), words), terms.relative_frequency(terms.term_counts(_docs(spark, sf_dir))))
+
+
+# --- graph and markup ----------------------------------------------------------------------------
+
+_HYPERNYMS = {"dog": ["canine", "carnivore", "mammal", "animal", "entity"], "wolf": ["canine", "carnivore", "mammal", "animal", "entity"], "cat": ["feline", "carnivore", "mammal", "animal", "entity"], "oak": ["tree", "plant", "organism", "entity"]}
+
+
+@query("concept_centrality")
+def concept_centrality(spark, sf_dir):
+    found = spark.createDataFrame([("dog", 2.0), ("wolf", 1.0), ("cat", 1.5), ("oak", 0.5), ("none", 1.0)], "term string, score double")
+    senses = spark.createDataFrame([(t, f"{t}.n.01", 0) for t in _HYPERNYMS], "term string, synset string, sense_rank int")
+    ups = spark.createDataFrame([(f"{t}.n.01", f"{h}.n.01", i + 1) for t, hs in _HYPERNYMS.items() for i, h in enumerate(hs)], "synset string, hypernym string, distance int")
+    return _rounded(graph.concepts(found, senses, ups), "score", digits=4)
+
+
+@query("html_clean")
+def html_clean(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", wikitext.html_text("html").alias("text"))
+
+
+@query("page_urls", r"SELECT page_id, list_last(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[^:/]+://', ''), '/')) AS name FROM pages")
+def page_urls(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", tx.url_file_name(F.col("url")).alias("name"))
+
+
+def _wiki(spark, sf_dir):
+    mark = F.concat(F.lit("'''"), F.col("source"), F.lit("''' er [[språk|"), F.col("lang"), F.lit("]]{{lc:X}}<ref>kilde</ref>.\n== Tekst ==\n"), F.col("text"))
+    return _docs_all(spark, sf_dir).select("doc_id", mark.alias("wikitext"))
+
+
+def _docs_all(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@query("wiki_clean")
+def wiki_clean(spark, sf_dir):
+    return _wiki(spark, sf_dir).select("doc_id", wikitext.cleaned(F.col("wikitext")).alias("text"))
+
+
+@query("infobox", "SELECT doc_id, lang AS lang_value, source AS source_value FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def infobox(spark, sf_dir):
+    box = F.concat(F.lit("{{Infoboks tekst\n| lang = [["), "lang", F.lit("]]\n| source = "), "source", F.lit("\n| tom = \n}}\n"), "text")
+    found = _docs_all(spark, sf_dir).where("lang is not null and source is not null").select("doc_id", wikitext.infobox_map(box).alias("m"))
+    return found.select("doc_id", F.col("m.lang").alias("lang_value"), F.col("m.source").alias("source_value"))
+
+
+@query("unicode_tokens")
+def unicode_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(tx.unicode_words("text")).alias("tokens"), F.size(tx.compatible_tokens(F.col("text"))).alias("compatible"))
