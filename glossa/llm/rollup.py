@@ -86,14 +86,16 @@ class Ledger:
 def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads all documents under one tokenizer version; removes those labelled toxic; revises the labelled rest to a
     second version; then replays both batches, which must change nothing."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    judged = docs.join(labels, "doc_id")
+    # texts are counted where they are read; the labels meet their counts
+    sizes = scratch.saved(docs.select("doc_id", "source", "lang", *(v(F.col("text")).alias(n) for n, v in (WORDS_1, PIECES_2))), "counts")
+    judged = sizes.join(labels, "doc_id")
     toxic, fine = judged.where("toxic = 1"), judged.where("toxic is null or toxic <> 1")
-    old, new = (lambda d, v=v: counted(d, v[0], v[1](F.col("text"))) for v in (WORDS_1, PIECES_2))
+    old, new = (lambda d, n=n: counted(d, n, F.col(f"`{n}`")) for n, _ in (WORDS_1, PIECES_2))
     ledger = Ledger(spark, scratch.path(spark, "ledger"))
     for _ in range(2):
-        ledger.commit("0001-load", inserted=old(docs))
+        ledger.commit("0001-load", inserted=old(sizes))
         ledger.commit("0002-labels", deleted=old(toxic), revised=(old(fine), new(fine)))
     return ledger.totals()
 
