@@ -172,7 +172,7 @@ def _head(lines: Column, at: int, mark: str, kind: str | None = None) -> Column:
 def newspaper_1(files: DataFrame) -> DataFrame:
     """One token a line; a line after the address is skipped, then source, year, month and day stand on fixed lines."""
     rows = _articles(files, r"<U #(https?://[^>\n]*)>")
-    tokens = F.filter(F.transform(F.slice("lines", F.lit(7), F.greatest(F.size("lines") - 6, F.lit(0))), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.slice("lines", F.lit(7), F.greatest(F.size("lines") - 6, F.lit(0))), lambda x: F.trim(x)), lambda t: t != "")
     made = rows.select(
         "url", _head(F.col("lines"), 2, r"^<B ([^>]*)>").alias("source"), *(_head(F.col("lines"), at, rf"^<{m} (\d+)>", "int").alias(n) for at, m, n in ((3, "A", "pub_year"), (4, "M", "pub_month"), (5, "D", "pub_day"))), tx.nfc_all(tokens).alias("tokens"), F.lit(1).alias("corpus_section")
     )
@@ -182,8 +182,8 @@ def newspaper_1(files: DataFrame) -> DataFrame:
 def newspaper_2(files: DataFrame) -> DataFrame:
     """Fixed header lines; the body's lines are joined by a space and cut into sentences at paragraph signs and pipes."""
     rows = _articles(files, r"##U #(https?://[^>\n]*)>")
-    lines = F.filter(F.transform(F.slice("lines", F.lit(6), F.greatest(F.size("lines") - 5, F.lit(0))), F.trim), lambda t: ~t.isin("", "|"))
-    sentences = F.filter(F.transform(F.split(F.array_join(lines, " "), r"[¶|]"), F.trim), lambda t: t != "")
+    lines = F.filter(F.transform(F.slice("lines", F.lit(6), F.greatest(F.size("lines") - 5, F.lit(0))), lambda x: F.trim(x)), lambda t: ~t.isin("", "|"))
+    sentences = F.filter(F.transform(F.split(F.array_join(lines, " "), r"[¶|]"), lambda x: F.trim(x)), lambda t: t != "")
     made = rows.select(
         "url", _head(F.col("lines"), 1, r"^##B ([^>]*)>").alias("source"), *(_head(F.col("lines"), at, rf"^##{m} (\d+)>", "int").alias(n) for at, m, n in ((2, "A", "pub_year"), (3, "M", "pub_month"), (4, "D", "pub_day"))), tx.nfc_all(sentences).alias("sentences"), F.lit(2).alias("corpus_section")
     )
@@ -195,7 +195,7 @@ def newspaper_3(files: DataFrame, fields: list[str] | None = None) -> DataFrame:
     fields = fields or ["title"]
     names, values = F.expr("xpath(value, '//attribute/@name')"), F.expr("xpath(value, '//attribute/@value')")
     one = lambda f: tx.nfc(F.trim(F.expr(f"xpath_string(value, '//div[@type=\"{f}\"]')"))).alias(f)
-    paragraphs = F.filter(F.transform(F.expr("xpath(value, '//div[@type=\"text\"]//p//text()')"), F.trim), lambda t: t != "")
+    paragraphs = F.filter(F.transform(F.expr("xpath(value, '//div[@type=\"text\"]//p//text()')"), lambda x: F.trim(x)), lambda t: t != "")
     return files.where(F.col("file").endswith(".xml")).select(
         "file", *map(one, fields), tx.nfc_all(paragraphs).alias("text"), F.map_from_arrays(names, tx.nfc_all(values)).alias("metadata"), F.lit(3).alias("corpus_section")
     )
