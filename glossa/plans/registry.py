@@ -379,7 +379,7 @@ def topic_keywords(spark, sf_dir):
 
 def _bags(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    words = terms.vocabulary(docs, 5, 0.5, 2000)
+    words = terms.vocabulary(docs)
     return topics.weighted_bags(docs, words), words
 
 
