@@ -322,9 +322,25 @@ b AS (SELECT word, arg_min(parts, (len(parts), sizes)) AS parts FROM r WHERE pos
 SELECT word, array_to_string(parts, '+') AS parts FROM w LEFT JOIN b USING (word)""",
 )
 def decompound(spark, sf_dir):
+    return _compounds(spark, sf_dir, "length(term) > 6 and df >= 3")
+
+
+@query(
+    "decompound_all",
+    f"""WITH RECURSIVE {TF}, x AS (SELECT term FROM df WHERE length(term) BETWEEN 3 AND 6 AND df >= 10), w AS (SELECT term AS word FROM df),
+r AS (SELECT word, 0 AS pos, [] :: VARCHAR[] AS parts, [] :: BIGINT[] AS sizes FROM w
+      UNION ALL SELECT r.word, r.pos + length(x.term), list_append(r.parts, x.term), list_append(r.sizes, length(x.term)) FROM r JOIN x ON substr(r.word, r.pos + 1, length(x.term)) = x.term WHERE r.pos < length(r.word)),
+b AS (SELECT word, arg_min(parts, (len(parts), sizes)) AS parts FROM r WHERE pos = length(word) GROUP BY word)
+SELECT word, array_to_string(parts, '+') AS parts FROM w LEFT JOIN b USING (word)""",
+)
+def decompound_all(spark, sf_dir):
+    return _compounds(spark, sf_dir, "true")
+
+
+def _compounds(spark, sf_dir, which: str):
     found = terms.document_frequency(terms.term_frequencies(_docs(spark, sf_dir)))
     lexicon = found.where("length(term) between 3 and 6 and df >= 10").select(F.col("term").alias("fullform"), F.lit("SUBST").alias("pos"))
-    words = found.where("length(term) > 6 and df >= 3").select(F.col("term").alias("word"))
+    words = found.where(which).select(F.col("term").alias("word"))
     return linguistics.decompound(words, lexicon).select("word", F.array_join("parts", "+").alias("parts"))
 
 
