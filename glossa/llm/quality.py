@@ -76,7 +76,7 @@ def measure(part: pa.RecordBatch, rules: Rules) -> dict[str, np.ndarray]:
     buf, doc_off = tb.parts(part.column("text"))
     docs = len(part)
     start, end, off = tb.words(buf, doc_off, tb.SPACED)
-    prints = tb.Prints(tb.BYTE_VALUE[buf])
+    prints = tb.Prints(buf)
     values = prints.of(start, end)
     points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     chars = np.concatenate([[0], np.cumsum(points[end] - points[start])])
@@ -95,7 +95,7 @@ def measure(part: pa.RecordBatch, rules: Rules) -> dict[str, np.ndarray]:
     again = (line[order][1:] == line[order][:-1]) & (of[order][1:] == of[order][:-1])
     dup_lines = np.bincount(of[order][1:][again], minlength=docs)
 
-    grams = tb.Prints(values).grams(NGRAM)
+    grams = tb.grams(values, NGRAM)
     word_doc = np.repeat(np.arange(docs), n_words)
     at = np.flatnonzero(word_doc[: len(grams)] == word_doc[NGRAM - 1 :][: len(grams)]) if len(grams) else np.zeros(0, np.int64)
     key = grams[at] + tb.mix(word_doc[at].astype(tb.U) + tb.U(1))

@@ -1,20 +1,26 @@
-"""Which windows of W symbols occur elsewhere: one engine for byte strings and for word sequences.
-
-All W-symbol windows of a text are too many to shuffle, so ranks are given to sampled positions first and refined only
-where they repeat (the rank of a span is its 64-bit print; spans are only compared within a group that shares a sampled
-gram, so wrong matches need two prints to collide at once):
-
-1. Every window owns one position, its leftmost smallest gram of K symbols: equal windows own equal grams at equal
-   places, and about two of W positions are owned at all. Positions whose gram is unique drop out.
-2. The span of all the windows that own a position (up to 2W - K symbols) is ranked. Where it repeats, all its windows do.
-   Of each class one position goes on as what others may match.
-3. The windows of a position are cut into blocks at fixed distances from it. What all windows of a block have in common
-   (its core) must repeat, else none of them can; the whole block is ranked like the span before.
-4. In what is left, the edges of repeats, each window is ranked.
-
-Each step moves a key, a row key and two small numbers a position; texts are written once, bucketed by row key, and meet
-their positions without moving again. Classes are aggregated map-side before they are joined back, both sides of a join
-are exchanges, so adaptive execution can split a class that holds a large share of all rows, and no step collects a class.
+"""Which windows of W symbols occur elsewhere: prefix doubling over sampled positions, for byte strings and word sequences.
+
+Ranking every position of a text shuffles many times its bytes, so the positions that are ranked are sampled, in such a way
+that each window of W symbols owns one and equal windows own equal positions:
+
+1. Every window owns its leftmost smallest gram of K symbols; about two of W positions are owned at all. The gram is a
+   position's first rank. Positions whose rank is unique drop out.
+2. Copies are told first: where the span of all the windows that own a position (up to 2W - K symbols) is that of another,
+   all its windows repeat, and one position of such a class goes on as what others may match. Ranks that only one position
+   still has drop out.
+3. Prefix doubling: around each position lies a grid of steps of ``block`` symbols. All strings of one step on it are ranked;
+   then pairs (rank at m, rank at m + 1), (rank at m, rank at m + 2), ... are sorted into classes and ranked anew, the length
+   doubling each time; unique ones drop out, until the ranked string (the core) is as long as what ``block`` neighbouring
+   windows have in common.
+4. The windows of a block share its core, with at most ``block`` symbols more at its ends. Windows pair the core's rank with
+   the rest: first the whole block, which tells for all its windows where it repeats, then, at the edges of repeats, one by one.
+
+A rank is the number of a class, so equal ranks mean equal strings (not the order of different ones, which nothing here
+asks for). A class is found by its key, of ranks already given and at most two 61-bit prints, so a wrong match needs a print
+to collide within one class. Each step moves ranks, a row key and a few small numbers a position; texts are written once,
+bucketed by row key, and meet their positions without moving again. Classes are aggregated map-side before they are joined
+back, both sides of a join are exchanges, so adaptive execution can split a class that holds a large share of all rows, and
+no step collects a class. Intermediate tables are deleted when the spans are written.
 
 "earlier" decides what counts as elsewhere: a row with a smaller doc_id, or any other place.
 """
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import textbuf as tb
 
-#: Symbols of a batch: their 64-bit values and the offset of each document's first.
+#: Symbols of a batch: bytes or 64-bit values, and the offset of each document's first.
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
@@ -41,16 +47,25 @@ class Search:
     symbols: Symbols
     window: int
     gram: int
-    block: int
     earlier: bool
 
+    @property
+    def rounds(self) -> int:
+        """Doublings of a grid string until it is a core."""
+        return 3 if self.window >= 8 else 0
+
+    @property
+    def block(self) -> int:
+        # the core's 2**rounds steps fit into what so many windows have in common
+        return max(1, (self.window + 1) // ((1 << self.rounds) + 1))
+
 
 def _owners(values: np.ndarray, off: np.ndarray, s: Search) -> dict[str, np.ndarray]:
     """The positions that windows own: gram, document, place in it, distances from the last and the first of its windows."""
     counts = np.maximum(np.diff(off) - s.window + 1, 0)
     if not counts.sum():
         return {k: np.zeros(0, np.int64) for k in ("h", "doc", "a", "d0", "d1")}
-    grams = tb.Prints(values).grams(s.gram)
+    grams = tb.grams(values, s.gram)
     starts = tb.expand(off[:-1], counts)
     doc = np.repeat(np.arange(len(counts)), counts)
     owner = tb.sliding_argmin(grams, s.window - s.gram + 1)[starts]
@@ -89,6 +104,21 @@ def _sampled(s: Search):
 
 
 def _spans(s: Search):
+    def run(batches):
+        for batch in batches:
+            for part in tb.chunks(batch):
+                values, off = s.symbols(part.column("text"))
+                doc, (h, a, d0, d1) = _listed(part, "h", "a", "d0", "d1")
+                at = off[doc] + a
+                span = tb.Prints(values).of(at - d1, at - d0 + s.window, 1)
+                yield _batch({"h": h, "span": tb.signed(span), **_keys(part, doc), **{k: pa.array(v, pa.int32()) for k, v in (("a", a), ("d0", d0), ("d1", d1))}})
+
+    return run
+
+
+def _grid(s: Search):
+    """Of each position: prints of the steps of its grid from ``m0`` on, and of its whole blocks."""
+
     def run(batches):
         for batch in batches:
             for part in tb.chunks(batch):
@@ -96,17 +126,18 @@ def _spans(s: Search):
                 prints = tb.Prints(values)
                 doc, (h, a, d0, d1) = _listed(part, "h", "a", "d0", "d1")
                 at = off[doc] + a
-                span = prints.of(at - d1, at - d0 + s.window, 1)
-                j0 = d0 // s.block
-                n = d1 // s.block - j0 + 1
+                j0, j1 = d0 // s.block, d1 // s.block
+                n = j1 - j0 + (1 << s.rounds)
+                begin = at[np.repeat(np.arange(len(a)), n)] + tb.expand(-j1, n) * s.block
+                steps = tb.list_column(tb.signed(prints.of(begin, begin + s.block, 2)), np.concatenate([[0], np.cumsum(n)]), pa.int64())
+                n = j1 - j0 + 1
                 row = np.repeat(np.arange(len(a)), n)
                 j = tb.expand(j0, n)
                 low, high = np.maximum(d0[row], j * s.block), np.minimum(d1[row], j * s.block + s.block - 1)
-                core = prints.of(at[row] - j * s.block, at[row] - j * s.block - s.block + 1 + s.window, 2)
                 whole = prints.of(at[row] - high, at[row] - low + s.window, 3)
-                parts = pa.StructArray.from_arrays([pa.array(j, pa.int32()), pa.array(tb.signed(core)), pa.array(tb.signed(whole)), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["j", "core", "whole", "b0", "b1"])
-                blocks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), parts)
-                yield _batch({"h": h, "span": tb.signed(span), **_keys(part, doc), **{k: pa.array(v, pa.int32()) for k, v in (("a", a), ("d0", d0), ("d1", d1))}, "blocks": blocks})
+                blocks = pa.StructArray.from_arrays([pa.array(j, pa.int32()), pa.array(tb.signed(whole)), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["j", "whole", "b0", "b1"])
+                blocks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), blocks)
+                yield _batch({"h": h, **_keys(part, doc), "a": pa.array(a, pa.int32()), "m0": pa.array(-j1, pa.int32()), "steps": steps, "blocks": blocks})
 
     return run
 
@@ -116,11 +147,11 @@ def _windows(s: Search):
         for batch in batches:
             for part in tb.chunks(batch):
                 values, off = s.symbols(part.column("text"))
-                doc, (h, a, b0, b1) = _listed(part, "h", "a", "b0", "b1")
+                doc, (core, a, b0, b1) = _listed(part, "core", "a", "b0", "b1")
                 n = b1 - b0 + 1
                 row, d = np.repeat(np.arange(len(a)), n), tb.expand(b0, n)
                 begin = (off[doc] + a)[row] - d
-                yield _batch({"h": h[row], "d": pa.array(d, pa.int32()), "w": tb.signed(tb.Prints(values).of(begin, begin + s.window, 4)), **_keys(part, doc[row]), "a": pa.array(a[row], pa.int32())})
+                yield _batch({"core": core[row], "d": pa.array(d, pa.int32()), "w": tb.signed(tb.Prints(values).of(begin, begin + s.window, 4)), **_keys(part, doc[row]), "a": pa.array(a[row], pa.int32())})
 
     return run
 
@@ -149,30 +180,59 @@ def _meeting(base: DataFrame, listed: DataFrame) -> DataFrame:
     return base.join(listed.hint("shuffle_hash"), ["k1", "k2"]).select("text", "k1", "k2", "found")
 
 
+def _live(rows: DataFrame, keys: list[str], s: Search) -> DataFrame:
+    """The classes of equal keys that can repeat."""
+    found = rows.groupBy(*keys).agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count("*").alias("n"))
+    return found.where("low < high" if s.earlier else "n > 1").drop("low", "high", "n")
+
+
+def _doubled(grid: DataFrame, s: Search) -> DataFrame:
+    """position, m and ``rank`` of the cores that repeat: ranks of pairs of ranks at offsets of 1, 2, 4, ... steps."""
+    rows = grid.select("h", "k1", "position", "m0", F.posexplode("steps").alias("m", "r")).select("h", "k1", "position", (F.col("m") + F.col("m0")).alias("m"), "r")
+    keys = ["h", "m", "r"]
+    for k in range(s.rounds + 1):
+        # the classes are written, so that the number of each is settled before it is used
+        classes = scratch.saved(_live(rows, keys, s).withColumn("rank", F.monotonically_increasing_id()), f"ranks-{s.block << k}")
+        ranked = rows.join(classes, keys).select("k1", "position", "m", "rank")
+        if k < s.rounds:
+            # a position has at most some dozen steps
+            at = ranked.groupBy("position", "k1").agg(F.map_from_entries(F.collect_list(F.struct("m", "rank"))).alias("at"))
+            at = at.withColumn("step", F.lit(1 << k))
+            pairs = F.transform(F.map_entries("at"), lambda x: F.struct(x["key"].alias("m"), x["value"].alias("r"), F.try_element_at(F.col("at"), x["key"] + F.col("step")).alias("next")))
+            rows = scratch.saved(at.select("position", "k1", F.inline(F.filter(pairs, lambda x: x["next"].isNotNull()))), f"pairs-{s.block << k}")
+            keys = ["r", "next"]
+    return ranked
+
+
 def repeated(base: DataFrame, s: Search) -> DataFrame:
     """Spans of the texts of ``base`` (a bucketed table of scratch.keyed rows) that consist of windows that occur elsewhere.
 
     Rows: k1, k2, s, e (in symbols), and where the first such occurrence is: src_k1, src_k2, src_s.
     """
-    distinct = base.select("k1", "k2", "text")
-    sampled = scratch.saved(distinct.mapInArrow(_sampled(s), "h long, k1 long, k2 long, a int, d0 int, d1 int"), "sampled")
-    grams = _classes(sampled, ["h"], s, "grams").select("h")
-    listed = _collected(sampled.join(grams, "h"), "h", "a", "d0", "d1")
-    spans = scratch.saved(
-        _meeting(base, listed).mapInArrow(_spans(s), "h long, span long, k1 long, k2 long, a int, d0 int, d1 int, blocks array<struct<j:int,core:long,whole:long,b0:int,b1:int>>"), "spans"
-    )
-    by_span = scratch.saved(_against(spans, _classes(spans, ["h", "span", "d0", "d1"], s, "span-classes"), ["h", "span", "d0", "d1"], s), "by-span")
-    blocks = by_span.where("onward").select("h", "k1", "k2", "a", F.inline("blocks"))
-    kinds = blocks.groupBy("h", "j", "core", "whole", "b0", "b1").agg(F.min(F.struct("k1", "k2", "a")).alias("src"), F.max("k1").alias("last"), F.count("*").alias("n"))
-    kinds = scratch.saved(kinds, "block-classes")
-    cores = kinds.groupBy("h", "j", "core").agg(F.min("src.k1").alias("low"), F.max("last").alias("high"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    cores = scratch.saved(cores.where("high > low" if s.earlier else "n > 1").select("h", "j", "core", "kinds"), "cores")
-    live = blocks.join(cores, ["h", "j", "core"])
-    many = kinds.where(F.col("last") > F.col("src.k1") if s.earlier else F.col("n") > 1).drop("last", "n")
-    by_block = scratch.saved(_against(live, many, ["h", "j", "core", "whole", "b0", "b1"], s), "by-block")
-    rest = _collected(by_block.where("onward and kinds > 1"), "h", "a", "b0", "b1")
-    windows = scratch.saved(_meeting(base, rest).mapInArrow(_windows(s), "h long, d int, w long, k1 long, k2 long, a int"), "windows")
-    by_window = _against(windows, _classes(windows, ["h", "d", "w"], s, "window-classes"), ["h", "d", "w"], s)
+    with scratch.scope():
+        return scratch.saved(_repeated(base, s), "repeats", keep=True)
+
+
+def _repeated(base: DataFrame, s: Search) -> DataFrame:
+    place = "h long, k1 long, k2 long, a int, d0 int, d1 int"
+    sampled = scratch.saved(base.select("k1", "k2", "text").mapInArrow(_sampled(s), place), "sampled")
+    listed = _collected(sampled.join(scratch.saved(_live(sampled, ["h"], s), "grams"), "h"), "h", "a", "d0", "d1")
+    spans = scratch.saved(_meeting(base, listed).mapInArrow(_spans(s), "h long, span long, k1 long, k2 long, a int, d0 int, d1 int"), "spans")
+    keys = ["h", "span", "d0", "d1"]
+    by_span = scratch.saved(_against(spans, _classes(spans, keys, s, "span-classes"), keys, s), "by-span")
+    left = by_span.where("onward")
+    left = _collected(left.join(scratch.saved(_live(left, ["h"], s), "grams-left"), "h"), "h", "a", "d0", "d1")
+    grid = _meeting(base, left).mapInArrow(_grid(s), "h long, k1 long, k2 long, a int, m0 int, steps array<long>, blocks array<struct<j:int,whole:long,b0:int,b1:int>>")
+    grid = scratch.saved(grid.withColumn("position", F.monotonically_increasing_id()), "grid")
+    cores = _doubled(grid, s).select("position", (-F.col("m")).alias("j"), F.col("rank").alias("core"))
+    blocks = scratch.saved(grid.select("position", "k1", "k2", "a", F.inline("blocks")).join(cores, ["position", "j"]), "blocks")
+    keys = ["core", "whole", "b0", "b1"]
+    by_block = scratch.saved(_against(blocks, _classes(blocks, keys, s, "block-classes"), keys, s), "by-block")
+    left = by_block.where("onward")
+    left = _collected(left.join(_live(left, ["core"], s), "core"), "core", "a", "b0", "b1")
+    windows = scratch.saved(_meeting(base, left).mapInArrow(_windows(s), "core long, d int, w long, k1 long, k2 long, a int"), "windows")
+    keys = ["core", "d", "w"]
+    by_window = _against(windows, _classes(windows, keys, s, "window-classes"), keys, s)
 
     def hits(df: DataFrame, low: str, high: str) -> DataFrame:
         start = F.col("a") - F.col(high)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,21 +45,57 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+#: Paths written within the scopes that are open, the innermost last.
+_scopes: list[list[tuple[SparkSession, str]]] = []
+#: Bytes of input that one bucket or shard holds, where that needs more of them than spark.sql.shuffle.partitions.
+PART_BYTES = 512 << 20
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What saved() writes in here is deleted at the end, unless it was written with ``keep``; kept tables pass to the scope around."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, where in _scopes.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(where)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
     where = path(spark, name)
     df.write.option("compression", "zstd").parquet(where)
+    for own in _scopes[-2:-1] if keep else _scopes[-1:]:
+        own.append((spark, where))
     return spark.read.schema(df.schema).parquet(where)
 
 
+def parts(df: DataFrame) -> int:
+    """Into how many parts a table is divided: spark.sql.shuffle.partitions, more where its files are large."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # of rows whose size it doesn't know Spark assumes about 2**63 bytes
+    return max(least, min(most, -(-size // PART_BYTES))) if size < 1 << 55 else least
+
+
 def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """As saved(), hash-bucketed by the keys: later joins on them move only the other side, never the texts again."""
+    """As saved(), hash-bucketed by the keys: later joins on them move only the other side, never the texts again.
+
+    The catalogue's entry goes as soon as the table has been resolved; its files stay as long as the shared folder's do.
+    """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts(df)
     table = f"{name}_{uuid.uuid4().hex}"
     (df.repartition(n, *keys).write.format("parquet").option("compression", "zstd").option("path", path(spark, name)).bucketBy(n, *keys).saveAsTable(table))
-    return spark.table(table)
+    found = spark.table(table)
+    found.schema  # noqa: B018
+    spark.sql(f"DROP TABLE {table}")
+    return found
 
 
 def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:

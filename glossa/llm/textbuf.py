@@ -67,8 +67,26 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         i = j
 
 
+#: The prime 2**61 - 1: sums modulo a prime have no texts that collide whatever the base, as sums modulo 2**64 do.
+PRIME = (1 << 61) - 1
+_PRIME_BASE = 0x1A3C59B7E2D4F681 % PRIME
+_L31, _L30, _P = U((1 << 31) - 1), U((1 << 30) - 1), U(PRIME)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U(61))
+    return np.minimum(x, x - _P)  # x - _P wraps round where x is smaller
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it."""
+    ah, al, bh, bl = a >> U(31), a & _L31, b >> U(31), b & _L31
+    mid = ah * bl + al * bh
+    return _reduced(U(2) * ah * bh + (mid >> U(30)) + ((mid & _L30) << U(31)) + al * bl)
+
+
 class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as needed."""
+    """Powers of the base and of its inverse modulo PRIME, as far as needed."""
 
     up = np.ones(1, U)
     down = np.ones(1, U)
@@ -76,32 +94,77 @@ class Powers:
     @classmethod
     def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, 1 << 16)
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                table = np.full(size, base, U)
-                table[0] = 1
-                setattr(cls, name, np.multiply.accumulate(table))
+            for name, base in (("up", _PRIME_BASE), ("down", pow(_PRIME_BASE, -1, PRIME))):
+                table = getattr(cls, name)
+                while len(table) < max(n, 1 << 16):
+                    table = np.concatenate([table, times(table, np.array([pow(base, len(table), PRIME)], U))])
+                setattr(cls, name, table)
         return cls.up[:n], cls.down[:n]
 
 
 class Prints:
-    """Fingerprints of any span of a sequence of 64-bit symbols: equal spans have equal prints."""
+    """Fingerprints of any span of a sequence of symbols, bytes or 64-bit values: equal spans have equal prints, others differ
+    but for one chance in 2**61 a symbol of their length, as the base is no text's choice."""
+
+    _BLOCK = 1 << 20
 
     def __init__(self, values: np.ndarray):
         n = len(values)
         up, self.down = Powers.to(n + 1)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(values * up[:n], out=self.sums[1:])
+        # sums of the products' upper and lower parts; what is asked for is put together when it is
+        self.high, self.low = np.zeros(n + 1, U), np.zeros(n + 1, U)
+        for a in range(0, n, self._BLOCK):
+            b = min(n, a + self._BLOCK)
+            if values.dtype == np.uint8:
+                v = values[a:b].astype(U) + U(1)
+                high, low = v * (up[a:b] >> U(31)), v * (up[a:b] & _L31)
+            else:
+                x = times(_reduced(values[a:b]), up[a:b])
+                high, low = x >> U(31), x & _L31
+            high[:1] += _reduced(self.high[a : a + 1])
+            low[:1] += _reduced(self.low[a : a + 1])
+            np.cumsum(high, out=self.high[a + 1 : b + 1])
+            np.cumsum(low, out=self.low[a + 1 : b + 1])
+
+    def _sum(self, at: np.ndarray) -> np.ndarray:
+        high = _reduced(self.high[at])
+        return _reduced(_reduced((high >> U(30)) + ((high & _L30) << U(31))) + _reduced(self.low[at]))
 
     def of(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93) + U(seed))
+        inside = _reduced(self._sum(end) + (_P - self._sum(start)))
+        return mix(times(inside, self.down[start]) + (end - start).astype(U) * U(0xD6E8FEB86659FD93) + U(seed))
+
+
+#: The most symbols of a gram: sums modulo 2**64 of more may collide for texts of a kind (Thue and Morse's).
+MOST_GRAM = 33
+
+
+def grams(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive symbols, k at most MOST_GRAM: cheap, for sampling and grouping."""
+    if k > MOST_GRAM:
+        raise ValueError(f"a gram has at most {MOST_GRAM} symbols")
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    if values.dtype == np.uint8:
+        values = BYTE_VALUE[values]
+    up, down = _plain(len(values) + 1)
+    sums = np.zeros(len(values) + 1, U)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * down[:n])
+
+
+_tables: dict[int, np.ndarray] = {_BASE: np.ones(1, U), _INVERSE: np.ones(1, U)}
+
 
-    def grams(self, k: int) -> np.ndarray:
-        """Of each k consecutive symbols."""
-        n = len(self.sums) - k
-        if n <= 0:
-            return np.zeros(0, U)
-        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
+def _plain(n: int) -> list[np.ndarray]:
+    """Powers modulo 2**64."""
+    for base, table in _tables.items():
+        if len(table) < n:
+            table = np.full(max(n, 1 << 16), base, U)
+            table[0] = 1
+            _tables[base] = np.multiply.accumulate(table)
+    return [t[:n] for t in _tables.values()]
 
 
 def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +185,7 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
 
 
 def word_values(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return Prints(BYTE_VALUE[buf]).of(start, end)
+    return Prints(buf).of(start, end)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
