@@ -96,24 +96,25 @@ def test_token_store_detects_damage(spark, docs):
 
 
 def test_substrings(spark, docs, texts):
-    made = by_id(substrings.parsed(docs, 10).select("doc_id", "text", "found"))
-    first = {}
+    made = by_id(substrings.factored(docs, 10))
+    first, dropped = {}, {}
     for d in sorted(texts):
         w = WORD.findall(texts[d])
         for i in range(len(w) - 9):
             first.setdefault(tuple(w[i : i + 10]), d)
     for d, t in texts.items():
         w = WORD.findall(t)
-        gone = {j for i in range(len(w) - 9) if first[tuple(w[i : i + 10])] < d for j in range(i, i + 10)}
-        assert {j for x in made[d]["found"] or [] for j in range(x["s"], x["e"])} == gone
-        runs = substrings.factors([x.asDict() for x in made[d]["found"] or []])
-        assert {j for a, b, _, _ in runs for j in range(a, b)} == gone
-        for a, b, src, at in runs:
-            assert src < d and WORD.findall(texts[src])[at : at + b - a] == w[a:b]
+        gone = dropped[d] = {j for i in range(len(w) - 9) if first[tuple(w[i : i + 10])] < d for j in range(i, i + 10)}
+        parse = made[d]["factors"]
+        assert {j for f in parse for j in range(f["start"], f["start"] + f["length"])} == gone
+        assert sum(f["length"] for f in parse) == len(gone)
+        for f in parse:
+            at = f["source_start"]
+            assert f["source"] < d and WORD.findall(texts[f["source"]])[at : at + f["length"]] == w[f["start"] : f["start"] + f["length"]]
     kept = by_id(substrings.deduplicated(docs, 10))
     for d, t in texts.items():
         w = WORD.findall(t)
-        gone = {j for x in made[d]["found"] or [] for j in range(x["s"], x["e"])}
+        gone = dropped[d]
         left = b" ".join(x for j, x in enumerate(w) if j not in gone)
         if gone and not left:
             assert d not in kept
