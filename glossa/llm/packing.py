@@ -47,6 +47,11 @@ class Bin:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], np.int64)
 
 
+#: What the query and the pipeline pack into. At most 32 documents share a sequence; all three residuals choose it. A sequence
+#: must be able to hold a full piece, so its attention capacity is 1024**2 and, unlike the other two, can't bind before the tokens do.
+SEQUENCE = Bin(documents=32, attention=1024**2, weights=(1.0, 0.25, 0.25))
+
+
 @dataclass
 class _Bins:
     """Groups of bins with equal residuals; each group is a list of ranges of bin numbers."""
@@ -134,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int = END_ID) -
     return texts.mapInArrow(cut, "doc_id long, n_tokens long, rest int, crcs array<long>, slot int")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, bins: Bin = Bin(), end_id: int = END_ID) -> DataFrame:  # noqa: B008
+def pack(docs: DataFrame, tokenizer: str | None = None, bins: Bin = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     The texts are read and encoded once; what is shuffled afterwards is one short row per document. Full pieces are

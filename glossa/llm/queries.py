@@ -19,7 +19,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substrings.OP2_SQL,
     "op3_decontamination": decontaminate.OP3_SQL,
-    "op4_token_rollup": rollup.OP4_SQL,
     "op7_minhash_near_dedup": neardup.OP7_SQL,
     "op9_chat_format": chat.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,

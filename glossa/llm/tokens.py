@@ -61,7 +61,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
+            cls._loaded[path] = (RankEncoder if path.endswith(".tiktoken") else Encoder)(path)
         return cls._loaded[path]
 
     def __init__(self, path: str):
@@ -69,11 +69,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        # the strings of special tokens in a text are ordinary text
         self.model.encode_special_tokens = True
         vocab = self.model.get_vocab(with_added_tokens=True)
-        self.vocab_size = max(vocab.values()) + 1
-        self.opens_word = np.zeros(self.vocab_size, bool)
-        self.opens_word[[i for x, i in vocab.items() if x[0] == "Ġ"]] = True
+        self.begin(max(vocab.values()) + 1, [i for x, i in vocab.items() if x[0] == "Ġ"])
+
+    def begin(self, vocab_size: int, opening: list[int]) -> None:
+        """opening: ids of tokens that begin with a space."""
+        self.vocab_size = vocab_size
+        self.opens_word = np.zeros(vocab_size, bool)
+        self.opens_word[opening] = True
         self.forget()
 
     def forget(self) -> None:
@@ -174,10 +179,35 @@ class Encoder:
         return out, out_off
 
 
+class RankEncoder(Encoder):
+    """The same of a file of ranks, whose texts are cut by the pattern that byte-level files name by kind."""
+
+    def __init__(self, path: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.model = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.begin(max(ranks.values()) + 1, [i for x, i in ranks.items() if x[:1] == b" "])
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.model.encode_ordinary(t), np.uint32) for t in texts]
+
+
 def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def versioned(path_or_name: str) -> str:
+    """A tokenizer's file: a path, or the name of a public one."""
+    import public_tokenizers
+
+    return path_or_name if os.path.sep in path_or_name else public_tokenizers.path(path_or_name)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     encoder = Encoder.of(tokenizer)
     for batch in batches:
@@ -284,7 +314,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
     spark = docs.sparkSession
     scratch.small_batches(spark)
     tokenizer = tokenizer or default_tokenizer()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = scratch.parts(docs)
 
     def write(batches):
         context = TaskContext.get()
@@ -304,7 +334,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{where}"], "n_docs": [docs_in], "n_tokens": [writer.total]})
 
-    parts = scratch.keyed(docs).select("k1", "k2", "text").repartitionByRange(n, "k1", "k2").sortWithinPartitions("k1", "k2")
+    # the ranges are found by reading ids alone; rows of one id stay together, ordered by their texts' hash
+    parts = scratch.keyed(docs).select("k1", "k2", "text").repartitionByRange(n, "k1").sortWithinPartitions("k1", "k2")
     return scratch.saved(parts.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"), "shards")
 
 

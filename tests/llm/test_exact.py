@@ -5,10 +5,13 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from glossa.llm import chat, decontaminate, neardup, packing, quality, repeats, rollup, scratch, substrings, suffixes, tokens, urls
 from glossa.llm import textbuf as tb
@@ -71,6 +74,16 @@ def test_encoder_is_the_tokenizers():
             assert ids[off[i] : off[i + 1]].tolist() == [*x.ids, tokens.END_ID]
 
 
+def test_rank_encoder():
+    r = random.Random(6)
+    pieces = [" ", "  ", " \n", "a", "Bc", "é", "'s", ".", "12", "—", "<|endoftext|>", "\t", "\u00a0", "你", "straße", "naïve", " the", " og"]
+    said = ["".join(r.choice(pieces) for _ in range(r.randint(0, 30))) for _ in range(500)] + ["", " "]
+    e = tokens.Encoder.of(tokens.versioned("byte_bpe_multi_50k.tiktoken"))
+    ids, off = e.encode(*tb.parts(pa.array(said)))
+    for i, x in enumerate(said):
+        assert ids[off[i] : off[i + 1]].tolist() == [*e.model.encode_ordinary(x), tokens.END_ID]
+
+
 def test_token_store(spark, docs, texts):
     shards = tokens.write_store(docs, scratch.path(spark, "store"), frame_tokens=500)
     found = by_id(tokens.read_store(shards))
@@ -247,7 +260,7 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(1, 41)}, 100: 0, 201: 200}
 
 
-@pytest.mark.parametrize("bins", [packing.Bin(), packing.Bin(documents=3), packing.Bin(attention=1024**2, documents=5, weights=(1, 0.5, 0.5), select="dot")])
+@pytest.mark.parametrize("bins", [packing.Bin(), packing.SEQUENCE, packing.Bin(documents=3), packing.Bin(attention=1024**2, documents=5, weights=(1, 0.5, 0.5), select="dot")])
 def test_packing(spark, docs, texts, bins):
     rows = packing.pack(docs, bins=bins).collect()
     e = tokens.Encoder.of(tokens.default_tokenizer()).model
@@ -269,6 +282,18 @@ def test_packing(spark, docs, texts, bins):
         assert sum(r["length"] for r in own) <= 1024 and len(own) <= (bins.documents or 1024)
 
 
+def test_every_capacity_decides():
+    one = packing.fit({900: 1, 1: 100}, packing.Bin(documents=32))[1]
+    assert (packing.fit({900: 1, 1: 100}, packing.Bin())[1], one) == (1, 4)
+    # 300 tokens fit beside 700 in either bin; the residual of documents or of attention says into which they go
+    held = {700: 1, 350: 2, 300: 1}
+    tight = packing.fit(held, packing.Bin(attention=1024**2, weights=(0, 0, 1)))[0]
+    loose = packing.fit(held, packing.Bin(documents=32, weights=(0, 1, 0)))[0]
+    bin_of = lambda rows: {r[0]: r[3] for r in rows}
+    assert bin_of(tight)[300] == bin_of(tight)[700] and bin_of(loose)[300] == bin_of(loose)[350]
+    assert packing.fit({600: 1, 400: 3}, packing.Bin(attention=600**2))[1] == 3
+
+
 def test_fit_is_tight_and_valid():
     r = random.Random(4)
     h = Counter(r.randint(1, 1023) for _ in range(20_000))
@@ -299,16 +324,58 @@ def test_chat(spark):
 
 def test_rollup(spark):
     rows = [(1, "a", "en", "x y"), (2, "a", "en", None), (3, None, "fr", "z"), (3, None, "fr", "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
-    name, words = rollup.WORDS_1
-    count = lambda d: rollup.counted(d, name, words(d["text"]))
-    ledger = rollup.Ledger(spark, scratch.path(spark, "ledger"))
+    docs = rollup.sized(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, source string, lang string, text string, sizes int, tokens int"), rollup.OLD, rollup.NEW)
+    count = lambda d, i=0: rollup.counted(d, ("old", "new")[i], d["sizes"][i])
+    where = scratch.path(spark, "ledger")
+    ledger = rollup.Ledger(spark, where)
     assert ledger.totals().count() == 0
     assert ledger.commit("a", inserted=count(docs)) and not ledger.commit("a", inserted=count(docs))
-    assert ledger.commit("b", deleted=count(docs.where("doc_id = 3")), revised=(count(docs.where("doc_id = 1")), rollup.bpe_counted(docs.where("doc_id = 1"), "bpe")))
+    assert ledger.commit("b", deleted=count(docs.where("doc_id = 3")), revised=(count(docs.where("doc_id = 1")), count(docs.where("doc_id = 1"), 1)))
     assert ledger.commit("c")
-    assert sorted(map(tuple, ledger.totals().collect())) == [("a", "en", "bpe", 1, 2), ("a", "en", "words-1", 1, 0)]
+    want = [("a", "en", "new", 1, 2), ("a", "en", "old", 1, 0)]
+    assert sorted(map(tuple, ledger.totals().collect())) == want
     assert ledger.committed() == ["a", "b", "c"]
+    assert ledger.compact() and sorted(map(tuple, ledger.totals().collect())) == want
+    again = rollup.Ledger(spark, where)
+    assert not again.commit("a", inserted=count(docs)) and again.commit("d", inserted=count(docs.where("doc_id = 2")))
+    assert again.compact() and sorted(map(tuple, again.totals().collect())) == [want[0], ("a", "en", "old", 2, 0)]
+    assert len([n for n in again._names(".") if n.startswith("data-")]) == 1
+
+
+def test_rollup_two_writers(spark):
+    """Both have written their deltas before either commits: one of them counts."""
+    docs = rollup.counted(spark.createDataFrame([("a", "en")], "source string, lang string"), "v", F.lit(5))
+    ledger = rollup.Ledger(spark, scratch.path(spark, "ledger"))
+    meet, publish = Barrier(2), ledger._publish
+
+    def late(*args):
+        meet.wait(60)
+        return publish(*args)
+
+    ledger._publish = late
+    with ThreadPoolExecutor(2) as pool:
+        won = [f.result() for f in [pool.submit(ledger.commit, "same", docs) for _ in range(2)]]
+    assert sorted(won) == [False, True]
+    assert list(map(tuple, ledger.totals().collect())) == [("a", "en", "v", 1, 5)]
+
+
+def test_op4_query(spark):
+    sf = "/root/testdata/sf0.001"
+    toxic = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        toxic[r["doc_id"]] = max(toxic.get(r["doc_id"], 0), r["toxic"] or 0)
+    ids = tokens.Encoder.of(tokens.default_tokenizer()).model
+    ranks = tokens.Encoder.of(tokens.versioned(rollup.NEW)).model
+    docs, size = Counter(), Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if toxic.get(r["doc_id"]) == 1:
+            continue
+        new = r["doc_id"] in toxic
+        key = (r["source"], r["lang"], rollup.NEW if new else rollup.OLD)
+        docs[key] += 1
+        size[key] += len(ranks.encode_ordinary(r["text"] or "") if new else ids.encode(r["text"] or "", add_special_tokens=False).ids)
+    found = {tuple(r)[:3]: tuple(r)[3:] for r in rollup.op4_token_rollup(spark, sf).collect()}
+    assert found == {k: (n, size[k]) for k, n in docs.items()}
 
 
 def test_urls(spark):
