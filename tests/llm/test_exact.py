@@ -254,6 +254,47 @@ def test_crowded_regions(spark, monkeypatch):
     test_near_duplicates(spark)
 
 
+def test_dense_region(spark):
+    """Thousands of texts of one template, most of them just under the threshold: recall of links, and few pairs a text."""
+    r = random.Random(8)
+    base = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(2000):
+        w = list(base)
+        for k in r.sample(range(150), r.choice([2, 3, 3, 3])):
+            w[k] = f"n{r.randrange(10**6)}"
+        rows.append(w)
+    for i in range(0, 2000, 20):  # pairs that are nearer
+        rows[i + 1] = list(rows[i])
+        rows[i + 1][r.randrange(150)] = f"m{i}"
+    sets = [{tuple(w[i : i + 3]) for i in range(148)} for w in rows]
+    ids = {g: n for n, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(rows), len(ids)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [ids[g] for g in x]] = 1
+    both = has @ has.T
+    size = has.sum(1)
+    linked = 100 * both >= 85 * (size[:, None] + size[None, :] - both)
+    x, y = np.nonzero(np.triu(linked, 1))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    counted = []
+    links = neardup._links
+    neardup._links = lambda pairs, *rest: (counted.append(pairs.count()), links(pairs, *rest))[1]
+    try:
+        found = {n["k1"]: n["component"] for n in neardup.grouped(docs)[1].collect()}
+    finally:
+        neardup._links = links
+    caught = np.mean([found[a] == found[b] for a, b in zip(x.tolist(), y.tolist(), strict=True)])
+    print("links", len(x), "recall", caught, "pairs", counted)
+    assert len(x) >= 100 and caught >= 0.9
+    assert counted[0] <= len(rows) * neardup.TREES * (neardup.NEIGHBOURS + neardup.DEPTH) and all(n <= len(rows) * neardup.DENSE_TREES * neardup.NEIGHBOURS for n in counted[1:])
+
+
+def test_hub_texts_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB", 2)
+    test_near_duplicates(spark)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 200), (300, 300)]
     found = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
