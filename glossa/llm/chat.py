@@ -5,8 +5,10 @@ a text are escaped, so that a reader can tell them from the template's own, and
 The machine walks the turns of a conversation in order and says whether they follow the template's transitions; a
 conversation that doesn't is formatted all the same, with the number of its first wrong turn.
 
-Rows are sorted by conversation and turn within partitions and streamed: a task holds one turn, however long the
-conversation. Null texts are empty; null or unknown roles have the template's default marks and are never learned; a null
+Rows are shuffled once, sorted by conversation and turn within partitions and streamed: a task holds a few turns, however long
+the conversation, and writes whole conversations to one file, which readers stream in its order without another shuffle. A
+conversation's digest needs its turns in order, so one conversation, null ids included, is one task's work. Very long texts are
+held one at a time. Null texts are empty; null or unknown roles have the template's default marks and are never learned; a null
 conversation id is a conversation; turns that tie are ordered by role and text; repeated rows are turns of their own;
 an empty table gives no rows; other columns are ignored.
 """
@@ -15,14 +17,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from urllib.parse import unquote
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
+from .tokens import _open
 
 ESCAPE = ""
 ROWS = 512
@@ -98,59 +104,79 @@ def formatted(turns: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     return spread.sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, _SEGMENTS)
 
 
+_NAMES = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "first_wrong"]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+_READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, first_wrong long"
+
+
+class _Conversation:
+    def __init__(self, conv, template: Template):
+        self.conv, self.template, self.n, self.turns, self.loss = conv, template, 0, hashlib.sha256(), hashlib.sha256()
+        self.chars = self.loss_chars = 0
+        self.wrong = self.role = None
+
+    def add(self, turn, role, part, text, loss, wrong):
+        self.chars += len(text)
+        self.role = role
+        plain = self.template.unescape(text) if part == 1 or loss else ""
+        if part == 1:
+            self.turns.update(f"{role or ''}\n{plain}\n".encode())
+            self.n += 1
+            if wrong and self.wrong is None:
+                self.wrong = turn
+        if loss:
+            self.loss_chars += len(plain)
+            self.loss.update(plain.encode())
+
+    def row(self):
+        wrong = self.n if self.wrong is None and self.role not in self.template.final else self.wrong
+        return (self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, wrong)
+
+
+def _conversations(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
+    """A row for each conversation of segments in order."""
+    now = None
+    for batch in batches:
+        done = []
+        for conv, *rest in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn_no", "role", "part", "text", "loss", "wrong")), strict=True):
+            if now is None or now.conv != conv:
+                if now is not None:
+                    done.append(now.row())
+                now = _Conversation(conv, template)
+            now.add(*rest)
+        yield _flush(done, _NAMES, _TYPES)
+    if now is not None:
+        yield _flush([now.row()], _NAMES, _TYPES)
+
+
 def read_back(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     """Per conversation, from its segments alone: n_turns, digest of the turns, characters and digest of what is learned,
     formatted_chars, and the first turn out of order (null: none; the number of turns: the last may not be last)."""
     scratch.small_batches(segments.sparkSession)
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "first_wrong"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-
-    class Conversation:
-        def __init__(self, conv):
-            self.conv, self.n, self.turns, self.loss = conv, 0, hashlib.sha256(), hashlib.sha256()
-            self.chars = self.loss_chars = 0
-            self.wrong = self.role = None
-
-        def add(self, turn, role, part, text, loss, wrong):
-            self.chars += len(text)
-            self.role = role
-            if part == 1:
-                plain = template.unescape(text)
-                self.turns.update(f"{role or ''}\n{plain}\n".encode())
-                self.n += 1
-                if wrong and self.wrong is None:
-                    self.wrong = turn
-            if loss:
-                plain = template.unescape(text)
-                self.loss_chars += len(plain)
-                self.loss.update(plain.encode())
-
-        def row(self):
-            wrong = self.n if self.wrong is None and self.role not in template.final else self.wrong
-            return (self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, wrong)
+    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no", "part").mapInArrow(lambda batches: _conversations(batches, template), _READ)
+
+
+def read_files(written: DataFrame, template: Template = INSTRUCT) -> DataFrame:
+    """As read_back(), of a table of formatted() segments as it was written: each file holds whole conversations in order."""
+    spark = written.sparkSession
+    files = written.inputFiles()
 
     def run(batches):
-        now = None
         for batch in batches:
-            done = []
-            for conv, *rest in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn_no", "role", "part", "text", "loss", "wrong")), strict=True):
-                if now is None or now.conv != conv:
-                    if now is not None:
-                        done.append(now.row())
-                    now = Conversation(conv)
-                now.add(*rest)
-            yield _flush(done, names, types)
-        if now is not None:
-            yield _flush([now.row()], names, types)
+            for where in batch.column("path").to_pylist():
+                system, local = _open(unquote(where))
+                with system.open_input_file(local) as source:
+                    yield from _conversations(pq.ParquetFile(source).iter_batches(ROWS), template)
 
-    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no", "part").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, first_wrong long")
+    listed = spark.createDataFrame([(f,) for f in files], "path string")
+    return listed.repartition(max(1, len(files)), "path").mapInArrow(run, _READ)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     fixed = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return read_back(scratch.saved(formatted(turns.unionByName(fixed)), "segments"))
+    return read_files(scratch.saved(formatted(turns.unionByName(fixed)), "segments"))
 
 
 def _sql() -> str:

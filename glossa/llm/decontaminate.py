@@ -8,8 +8,9 @@ of the patterns that end in that block, and their words are compared. Cursors of
 Items are compiled into blocks of bounded size, files in the shared folder that tasks read one at a time, so neither the
 driver nor a task ever holds the whole benchmark. Documents aren't shuffled.
 
-Null texts have no words; empty items match nothing; a null item_id is named "null"; repeated rows are judged alike;
-empty tables give no rows, or no hits; other columns are passed on or ignored.
+Null and empty texts have no words; empty items match nothing; a null item_id is named "null"; repeated rows are judged alike;
+items that hold the same window all count, so ties need no order; a very long text is searched whole, by many cursors at once;
+empty tables give no rows, or no hits; other columns, whatever their names, are passed on or ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .tokens import _open
 WINDOW = 10
 #: Bytes of item texts compiled into one block.
 BLOCK_BYTES = 8 << 20
+#: Bytes of documents that one load of a block serves, where there are several.
+GROUP_BYTES = 32 << 20
 #: Window starts that one cursor walks through.
 STRIDE = 256
 
@@ -144,31 +147,48 @@ def compiled(items: DataFrame, window: int = WINDOW) -> list[str]:
 _loaded: dict[str, list[WuManber]] = {}
 
 
-def _load(where: str, keep: bool) -> list[WuManber]:
+def _load(where: str) -> list[WuManber]:
+    """The patterns of one block; the last one stays loaded."""
     if where not in _loaded:
         system, local = _open(where)
         with system.open_input_file(local) as f:
             found = pickle.loads(f.read())
-        if not keep:
-            return found
         _loaded.clear()
         _loaded[where] = found
     return _loaded[where]
 
 
-def search(part: pa.RecordBatch, blocks: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """Of each document: number of words, of words that are hit, and the items found."""
-    text = Text(part.column("text"))
-    depth, items = np.zeros(len(text.values) + 1, np.int64), defaultdict(set)
+def groups(batches: Iterator[pa.RecordBatch], blocks: list[str]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of documents that are searched together: with several blocks many, so that each load of a block serves them all."""
+    held, size = [], 0
+    for batch in batches:
+        for part in tb.chunks(batch):
+            held.append(part)
+            size += tb.parts(part.column("text"))[1][-1]
+            if len(blocks) == 1 or size >= GROUP_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def search(parts: list[pa.RecordBatch], blocks: list[str]) -> list[tuple[np.ndarray, np.ndarray, list[list[str]]]]:
+    """Of each document of each slice: number of words, of words that are hit, and the items found."""
+    texts = [Text(part.column("text")) for part in parts]
+    depths, items = [np.zeros(len(t.values) + 1, np.int64) for t in texts], [defaultdict(set) for _ in texts]
     for where in blocks:
-        for patterns in _load(where, len(blocks) == 1):
-            begin, which = patterns.search(text)
-            np.add.at(depth, begin, 1)
-            np.add.at(depth, begin + patterns.m, -1)
-            for d, p in set(zip((np.searchsorted(text.off, begin, "right") - 1).tolist(), which.tolist(), strict=True)):
-                items[d].update(patterns.items[p])
-    hits = np.concatenate([[0], np.cumsum(np.cumsum(depth[:-1]) > 0)])[text.off]
-    return np.diff(text.off), np.diff(hits), [sorted(items[d]) if d in items else [] for d in range(len(part))]
+        for patterns in _load(where):
+            for text, depth, named in zip(texts, depths, items, strict=True):
+                begin, which = patterns.search(text)
+                np.add.at(depth, begin, 1)
+                np.add.at(depth, begin + patterns.m, -1)
+                for d, p in set(zip((np.searchsorted(text.off, begin, "right") - 1).tolist(), which.tolist(), strict=True)):
+                    named[d].update(patterns.items[p])
+    out = []
+    for text, depth, named in zip(texts, depths, items, strict=True):
+        hits = np.concatenate([[0], np.cumsum(np.cumsum(depth[:-1]) > 0)])[text.off]
+        out.append((np.diff(text.off), np.diff(hits), [sorted(named[d]) if d in named else [] for d in range(len(text.off) - 1)]))
+    return out
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -176,9 +196,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     blocks = compiled(items, window)
 
     def scan(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for part in tb.chunks(batch):
-                n, hit, found = search(part, blocks)
+        for parts in groups(batches, blocks):
+            for part, (n, hit, found) in zip(parts, search(parts, blocks), strict=True):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(hit), pa.array(found, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -190,9 +209,9 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     blocks = compiled(items, window)
 
     def scan(batches):
-        for batch in batches:
-            for part in tb.chunks(batch):
-                yield part.filter(pa.array(search(part, blocks)[1] == 0))
+        for parts in groups(batches, blocks):
+            for part, (_, hit, _) in zip(parts, search(parts, blocks), strict=True):
+                yield part.filter(pa.array(hit == 0))
 
     return docs.mapInArrow(scan, docs.schema)
 

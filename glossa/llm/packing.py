@@ -8,8 +8,9 @@ table of rank intervals (length, ranks -> consecutive bins, offset) of bounded s
 rank among those of equal length. So this is one global best-fit-decreasing, without a global sort.
 
 Only documents longer than a sequence are cut: whole sequences from their end, the rest, if any, is the first piece.
-Null texts are empty (a document of the end id alone); repeated rows are packed as often as they occur; an empty table
-gives no rows; other columns of the input are ignored.
+Null texts are empty (a document of the end id alone); repeated rows are packed as often as they occur; a very long text is cut
+into as many sequences as it fills; bins that tie are taken by fewer free tokens, then fewer free documents; an empty table gives
+no rows; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations

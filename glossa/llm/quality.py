@@ -9,7 +9,9 @@ least ``min_repeat`` words are united, and a document is rejected if they cover
 or if the longest repeat exceeds ``max_repeat`` words. Only documents with a repeated 8-word window can have such a repeat,
 so only they get a suffix array.
 
-Null texts have no words and fail; repeated rows are judged alike; other columns are passed on or ignored.
+Null and empty texts have no words and fail; repeated rows are judged alike and an empty table gives no rows; bounds are
+inclusive where a count ties with one; a very long text is judged whole, in the memory of one task (some 100 bytes a byte, more
+for a suffix array); other columns, whatever their names, are passed on or ignored.
 """
 
 from __future__ import annotations

@@ -18,21 +18,29 @@ NULL_ID = -(2**63)
 
 
 def root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new one only where it is unset and the session is local."""
+    """The folder of ``spark.checkpoint.dir`` as a full URI; a new one only where it is unset and the session is local.
+
+    A path without a scheme is of the cluster's default file system; on a cluster that may not be a machine's own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
     sc = spark.sparkContext
-    try:
-        found = sc.getCheckpointDir()
-    except Exception:
-        found = None
     if not found:
-        if not sc.master.startswith("local"):
+        try:
+            found = sc.getCheckpointDir()
+        except Exception:
+            found = None
+    local = sc.master.startswith("local")
+    if not found:
+        if not local:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="glossa-"))
         found = sc.getCheckpointDir()
-    return found.rstrip("/")
+    plain = ":" not in found.split("/")[0]
+    p = spark._jvm.org.apache.hadoop.fs.Path(found)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    if plain and full.startswith("file:") and not local:
+        raise ValueError(f"spark.checkpoint.dir is {found}, which names a folder of each machine; give a URI of one that all share")
+    return full
 
 
 def path(spark: SparkSession, name: str) -> str:

@@ -7,8 +7,9 @@ only the frames of the documents asked for.
 
 A frame holds: uint32 documents, then int64 id and uint32 tokens of each, then all the ids (uint16, or uint32 where the
 vocabulary needs it), everything little-endian. A null doc_id is written as the smallest int64 and sorts first; a null
-text is empty; repeated doc_ids stay separate documents, ordered by a hash of their text. An empty table gives an empty
-store and no rows.
+text is empty; repeated doc_ids stay separate documents, ordered by a hash of their text, so rows that tie in both are equal. An
+empty table gives an empty store and no rows; a very long text is one entry of a frame of its own size; other columns, whatever
+their names, are ignored. The strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -219,10 +220,10 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple
 
 
 def _open(where: str):
-    """File system and path of a path or URI, whatever the scheme (a plain path is local)."""
+    """File system and path of a URI, whatever its scheme; scratch.root() never gives a path without one."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(where) if "://" in where or where.startswith("file:") else (fs.LocalFileSystem(), where)
+    return fs.FileSystem.from_uri(f"file://{where[5:]}" if where.startswith("file:/") and not where.startswith("file://") else where)
 
 
 class ShardWriter:

@@ -196,7 +196,10 @@ def test_quality(spark, docs, texts):
         row = found[d]
         longest = 0
         if repeated(8):
-            longest = next(n for n in range(len(w), 7, -1) if repeated(n)) if len(w) < 400 else row["longest_repeat"]
+            low, high = 8, len(w)  # a repeat of n words holds one of n - 1
+            while high - low > 1:
+                low, high = ((low + high) // 2, high) if repeated((low + high) // 2) else (low, (low + high) // 2)
+            longest = low
         assert (row["n_words"], row["word_chars"], row["n_symbols"]) == (len(w), sum(len(x.decode()) for x in w), sum(t.count(b) for b in b"#*$%&|<>"))
         assert (row["n_dup_lines"], row["n_repeat_words"], row["n_covered"]) == (len(lines) - len(set(lines)), len(repeated(8)), len(repeated(9)))
         assert row["longest_repeat"] == longest or not repeated(8)
@@ -261,12 +264,13 @@ def test_dense_region(spark):
     rows = []
     for i in range(2000):
         w = list(base)
-        for k in r.sample(range(150), r.choice([2, 3, 3, 3])):
+        for k in r.sample(range(150), r.choice([3, 4, 4, 4])):
             w[k] = f"n{r.randrange(10**6)}"
         rows.append(w)
     for i in range(0, 2000, 20):  # pairs that are nearer
         rows[i + 1] = list(rows[i])
-        rows[i + 1][r.randrange(150)] = f"m{i}"
+        for k in r.sample(range(150), 3):
+            rows[i + 1][k] = f"m{i}_{k}"
     sets = [{tuple(w[i : i + 3]) for i in range(148)} for w in rows]
     ids = {g: n for n, g in enumerate(sorted(set().union(*sets)))}
     has = np.zeros((len(rows), len(ids)), np.float32)
