@@ -18,9 +18,13 @@ def tokenised(docs: DataFrame, tokens: Tokens = tx.letters, key: str = "doc_id",
 
 
 def term_frequencies(docs: DataFrame, tokens: Tokens = tx.letters, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, tf and doc_len: one pre-aggregated shuffle."""
+    """key, term, tf and doc_len: one pre-aggregated shuffle.
+
+    The length is a key of the group, so that whatever a query then drops, each use of the counts plans the same exchange
+    and the texts are cut into tokens once. A key stands for one document.
+    """
     rows = tokenised(docs, tokens, key, text).select(key, "doc_len", F.explode("tokens").alias("term"))
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
+    return rows.groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf")).select(key, "term", "tf", "doc_len")
 
 
 def relative_frequency(counts: DataFrame, min_count: int = 1) -> DataFrame:
@@ -65,7 +69,9 @@ def vocabulary(docs: DataFrame, no_below: int = 5, no_above: float = 0.5, keep:
 def tfidf(docs: DataFrame, normalise: bool = True, tokens: Tokens = tx.letters) -> DataFrame:
     """doc_id, term, weight: tf * log2(D / df), by default of unit length per document. Terms in all documents weigh nothing and go."""
     tf = term_frequencies(docs, tokens)
-    rows = tf.join(idf_log2(docs, tokens), "term").select("doc_id", "term", (F.col("tf") * F.col("weight")).alias("weight")).where("weight <> 0")
+    total = docs.agg(F.count("*").alias("docs"))
+    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", (-F.log2(F.col("df") / F.col("docs"))).alias("idf"))  # one row
+    rows = tf.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("weight")).where("weight <> 0")
     if not normalise:
         return rows
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("doc_id")))
@@ -82,7 +88,7 @@ def lift(docs: DataFrame, n: int = 5, tokens: Tokens = tx.letters, doc_id=None)
     (no row if it is missing); the collection's statistics stay whole."""
     tf = term_frequencies(docs, tokens)
     stats = tf.groupBy("term").agg(F.sum("tf").alias("ttf"))
-    total = tokenised(docs, tokens).agg(F.sum("doc_len").alias("all"))
+    total = tf.agg(F.sum("tf").alias("all"))
     own = tf if doc_id is None else term_frequencies(docs.where(F.col("doc_id") == doc_id), tokens)
     rows = own.join(stats, "term").crossJoin(F.broadcast(total))  # one row
     scored = rows.select("doc_id", "term", ((F.col("tf") / F.col("doc_len")) / (F.col("ttf") / F.col("all"))).alias("score"))
@@ -90,9 +96,9 @@ def lift(docs: DataFrame, n: int = 5, tokens: Tokens = tx.letters, doc_id=None)
 
 
 def weighted(docs: DataFrame, weights: DataFrame | None = None, n: int = 5, tokens: Tokens = tx.letters) -> DataFrame:
-    """The n terms of each document of most tf, or tf times the provider's weight."""
+    """The n terms of each document of most tf, or tf times the provider's weight (ties, to nine digits, by term)."""
     tf = term_frequencies(docs, tokens)
     score = F.col("tf").cast("double")
     if weights is not None:
         tf, score = tf.join(weights, "term"), F.col("tf") * F.col("weight")
-    return top(tf.select("doc_id", "term", score.alias("score")), n, "doc_id", F.desc("score"), F.asc("term"))
+    return top(tf.select("doc_id", "term", score.alias("score")), n, "doc_id", F.desc(F.round("score", 9)), F.asc("term"))

@@ -93,9 +93,14 @@ class StoredWeights(TermWeights):
             self.add(initial)
 
     def add(self, weights: DataFrame) -> None:
-        at = F.current_timestamp()
-        weights.select("term", F.col("weight").cast("double").alias("weight"), F.unix_micros(at).alias("at")).write.mode("append").parquet(self.path)
+        # a number after the last one stored, so that two additions within one tick of a clock keep their order
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        last = (self._rows().agg(F.max("at")).first()[0] or 0) if there else 0
+        weights.select("term", F.col("weight").cast("double").alias("weight"), F.lit(last + 1).cast("long").alias("at")).write.mode("append").parquet(self.path)
+
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema("term string, weight double, at long").parquet(self.path)
 
     def table(self, requests):
-        rows = self.spark.read.schema("term string, weight double, at long").parquet(self.path)
-        return rows.groupBy("term").agg(F.max_by("weight", F.struct("at", "weight")).alias("weight"))
+        return self._rows().groupBy("term").agg(F.max_by("weight", F.struct("at", "weight")).alias("weight"))

@@ -16,7 +16,7 @@ from urllib.parse import quote
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType
+from pyspark.sql.types import MapType, StringType, StructType
 
 from ..functions.text import unescape_text
 
@@ -305,6 +305,8 @@ class Page:
     keep_links: bool = False
     keep_sections: bool = False
     html: bool = False
+    #: Parameters whose names or defaults are being read.
+    inside: int = field(default=0, init=False)
 
     def magic(self, name: str) -> str | None:
         n = self.now
@@ -324,15 +326,18 @@ class Page:
         return "".join([*out, text[at:]])
 
     def parameter(self, body: str, params: dict[str, str] | None, depth: int) -> str:
-        if depth > MAX_DEPTH:
+        if depth > MAX_DEPTH or self.inside >= MAX_PARAMETER_DEPTH:
             return ""
-        name, *rest = split_parts(body)
-        if params is None:
+        self.inside += 1
+        try:
+            name, *rest = split_parts(body)
+            if params is not None:
+                name = self.expand(name, depth, params).strip()
+                if name in params:
+                    return params[name]
             return self.expand(rest[0], depth, params) if rest else ""
-        name = self.expand(name, depth, params).strip()
-        if name in params:
-            return params[name]
-        return self.expand(rest[0], depth, params) if rest else ""
+        finally:
+            self.inside -= 1
 
     def call(self, body: str, depth: int, params: dict[str, str] | None) -> str:
         if depth > MAX_DEPTH:
@@ -563,6 +568,12 @@ def html_text(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
+def ignore_tag(name: str) -> None:
+    """Registers a tag whose marks go and whose content stays."""
+    if name not in UNWRAPPED:
+        UNWRAPPED.append(name)
+
+
 # --- dumps ----------------------------------------------------------------------------------------
 
 PAGE = "title string, ns int, id string, redirect struct<_title:string>, revision struct<id:string, parentid:string, contributor struct<id:string, username:string>, text struct<_VALUE:string>>"
@@ -595,6 +606,31 @@ def pages(rows: DataFrame, num_articles: int = 0, min_length: int = 30, site: Si
     return made.where(F.length("article.text") >= min_length)
 
 
+def flat(rows: DataFrame, *paths: str, sep: str = "_") -> DataFrame:
+    """Every leaf of nested structs as a column named by its path, or only the paths (with dots) that are named."""
+
+    def leaves(fields, before=()):
+        for f in fields:
+            here = (*before, f.name)
+            if isinstance(f.dataType, StructType):
+                yield from leaves(f.dataType, here)
+            else:
+                yield here
+
+    found = [p for p in leaves(rows.schema) if not paths or ".".join(p) in paths]
+    return rows.select(*(F.col(".".join(f"`{x}`" for x in p)).alias(sep.join(p)) for p in found))
+
+
+def single_article(spark: SparkSession, path: str, site: Site | None = None, **options) -> dict | None:
+    """id, title and text of the first article of one file, found by its marks alone: for looking at one page."""
+    head = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("x"))
+    one = lambda pattern: F.regexp_extract("x", pattern, 1)
+    row = head.select(one(r"<id>(\d+)</id>").alias("id"), one(r"<title>([^<]*)</title>").alias("title"), one(r"(?s)<text[^>]*>(.*?)</text>").alias("text")).first()
+    if row is None or not row["title"]:
+        return None
+    return {"id": int(row["id"] or -1), "title": row["title"], "text": Page(site or Site(), row["title"], **options).text(unescape_text(row["text"]), True)}
+
+
 def in_namespaces(rows: DataFrame, accepted: list[str] | None = None, template_prefix: str = "Template:") -> DataFrame:
     space = F.substring_index("title", ":", 1)
     fits = ~F.col("title").contains(":") | space.isin(accepted or sorted(ACCEPTED))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -62,12 +62,11 @@ def sigterms_one(spark, sf_dir):
 @query(
     "sigterms_tf_weighted",
     f"""WITH {TF}, s AS (SELECT doc_id, term, tf * -log2(df / n) AS score FROM tf JOIN df USING (term), n),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, term) AS rank FROM s) SELECT doc_id, term, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, term) AS rank FROM s) SELECT doc_id, term, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
 )
 def sigterms_weighted(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    tf = terms.term_frequencies(docs).join(terms.idf_log2(docs), "term").select("doc_id", "term", F.round(F.col("tf") * F.col("weight"), 6).alias("score"))
-    return terms.top(tf, 5, "doc_id", F.desc("score"), F.asc("term")).withColumn("rank", F.col("rank").cast("long"))
+    return _rounded(terms.weighted(docs, terms.idf_log2(docs)), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("sigterms_tf", f"WITH {TF}, r AS (SELECT doc_id, term, CAST(tf AS DOUBLE) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS rank FROM tf) SELECT * FROM r WHERE rank <= 5")
@@ -127,11 +126,6 @@ def content_words(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(tx.content_words(tx.letters(F.col("text")), STOP)).cast("long").alias("n"))
 
 
-@query("doc_filters", "SELECT doc_id, length(text) AS n FROM documents WHERE NOT starts_with(text, '#REDIRECT') AND length(text) >= 30")
-def doc_filters(spark, sf_dir):
-    return _docs(spark, sf_dir).where(~F.col("text").startswith("#REDIRECT") & (F.length("text") >= 30)).select("doc_id", F.length("text").cast("long").alias("n"))
-
-
 # --- providers -----------------------------------------------------------------------
 
 ASKED = ["the", "and", "la", "der", "no-such-term", "the", "que"]
@@ -257,11 +251,6 @@ def np_chunks(spark, sf_dir):
     return found.select("doc_id", F.col("at").cast("long").alias("pos"), F.array_join("phrase", " ").alias("phrase"))
 
 
-@query("kera_keywords")
-def kera_keywords(spark, sf_dir):
-    return _rounded(keywords.kera(_docs(spark, sf_dir)), "score")
-
-
 # --- linguistics ----------------------------------------------------------------------------
 
 _FORMS = [("skildre", "verb", "inf"), ("det", "pron", "pers|3|nøyt|eint"), (",", "<komma>", "_"), ("hus", "subst", "appell|nøyt"), ("Oslo", "subst", "prop"), ("vi", "pron", "pers"), ("1998", "det", "kvant"), ("sies", "verb", "pass"), ("II", "det", "<romertall>"), ("og", "konj", ""), ("km", "subst", "symb"), ("km", "subst", "sym"), ("at", "sbu", None), ("på", "prep", ""), ("å", "inf-merke", ""), ("hm", "ukjent", "")]
@@ -356,12 +345,12 @@ def hmm_tag(spark, sf_dir):
 # --- topics ------------------------------------------------------------------------------------
 
 
-@query(
-    "topic_hits_top5",
-    f"""WITH {TF}, q AS (SELECT DISTINCT item_id AS query, unnest({TOK}) AS term FROM benchmark), a AS (SELECT query, count(*) AS asked FROM q GROUP BY query),
+_HITS = f"""q AS (SELECT DISTINCT item_id AS query, unnest({TOK}) AS term FROM benchmark), a AS (SELECT query, count(*) AS asked FROM q GROUP BY query),
 h AS (SELECT query, doc_id, sum(sqrt(tf) * pow(1 + ln(n / (df + 1)), 2) / sqrt(doc_len)) AS s, count(*) AS matched FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY query, doc_id),
-r AS (SELECT query, doc_id, round(matched / asked * s, 6) AS score FROM h JOIN a USING (query)), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM r) SELECT query, doc_id, score, rank FROM k WHERE rank <= 5""",
-)
+r AS (SELECT query, doc_id, round(matched / asked * s, 6) AS score FROM h JOIN a USING (query)), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM r)"""
+
+
+@query("topic_hits_top5", f"WITH {TF}, {_HITS} SELECT query, doc_id, score, rank FROM k WHERE rank <= 5")
 def topic_hits(spark, sf_dir):
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query"), F.explode(tx.letters(F.col("text"))).alias("term"))
     return topics.hits(asked, _docs(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
@@ -379,13 +368,6 @@ def topic_trim(spark, sf_dir):
     return topics.trimmed(words, terms.idf_log2(docs)).withColumn("rank", F.col("rank").cast("long")).select("topic", "term", "rank")
 
 
-@query("topic_title_prefix", "SELECT conv_id AS query, turn AS rank, string_agg(role, ' ') OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS prefix FROM conversations")
-def topic_title_prefix(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    before = Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(F.col("conv_id").alias("query"), F.col("turn").alias("rank"), F.array_join(F.collect_list("role").over(before), " ").alias("prefix"))
-
-
 @query("topic_keywords")
 def topic_keywords(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.concat_ws(" ", "source", "lang").alias("title"))
@@ -440,30 +422,15 @@ def concept_centrality(spark, sf_dir):
     return _rounded(graph.concepts(found, senses, ups), "score", digits=4)
 
 
-@query("html_clean")
-def html_clean(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", wikitext.html_text("html").alias("text"))
-
-
 @query("page_urls", r"SELECT page_id, list_last(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[^:/]+://', ''), '/')) AS name FROM pages")
 def page_urls(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", tx.url_file_name(F.col("url")).alias("name"))
 
 
-def _wiki(spark, sf_dir):
-    mark = F.concat(F.lit("'''"), F.col("source"), F.lit("''' er [[språk|"), F.col("lang"), F.lit("]]{{lc:X}}<ref>kilde</ref>.\n== Tekst ==\n"), F.col("text"))
-    return _docs_all(spark, sf_dir).select("doc_id", mark.alias("wikitext"))
-
-
 def _docs_all(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@query("wiki_clean")
-def wiki_clean(spark, sf_dir):
-    return _wiki(spark, sf_dir).select("doc_id", wikitext.cleaned(F.col("wikitext")).alias("text"))
-
-
 @query("infobox", "SELECT doc_id, lang AS lang_value, source AS source_value FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
 def infobox(spark, sf_dir):
     box = F.concat(F.lit("{{Infoboks tekst\n| lang = [["), "lang", F.lit("]]\n| source = "), "source", F.lit("\n| tom = \n}}\n"), "text")
@@ -471,6 +438,4 @@ def infobox(spark, sf_dir):
     return found.select("doc_id", F.col("m.lang").alias("lang_value"), F.col("m.source").alias("source_value"))
 
 
-@query("unicode_tokens")
-def unicode_tokens(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(tx.unicode_words("text")).alias("tokens"), F.size(tx.compatible_tokens(F.col("text"))).alias("compatible"))
+from . import formats  # noqa: E402, F401  registers its own queries

@@ -5,11 +5,13 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import lzma
 import os
 import re
 import tarfile
 import urllib.request
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -102,52 +104,64 @@ def treebank_files(names: list[str], lang=None, sections=None) -> list[str]:
     return [n for n in names if fits(n)]
 
 
-def archive_members(spark: SparkSession, path: str | list[str], keep: str = ".*", encoding: str = "UTF-8") -> DataFrame:
-    """archive, file, value: the text members of zip, tar, gz and bz2 files, nested in each other or not.
-
-    One archive is read by one task, a member at a time; an unreadable member is skipped, the others still come."""
-    wanted = re.compile(keep)
-
-    def unpacked(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-        if name.endswith(".zip"):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for n in z.namelist():
-                    if not n.endswith("/"):
-                        yield from unpacked(n, z.read(n))
-        elif name.endswith((".tar", ".tgz", ".tar.gz", ".tar.bz2")):
-            with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                for m in t:
-                    if m.isfile():
-                        yield from unpacked(m.name, t.extractfile(m).read())
-        elif name.endswith(".gz"):
-            yield from unpacked(name[:-3], gzip.decompress(data))
-        elif name.endswith(".bz2"):
-            yield from unpacked(name[:-4], bz2.decompress(data))
-        else:
-            yield name, data
+_PACKED = (".zip", ".tar", ".tgz", ".tar.gz", ".tar.bz2", ".gz", ".bz2")
+
+
+def archive_members(spark: SparkSession, path: str | list[str], keep: str | list[str] = ".*", encoding: str = "UTF-8") -> DataFrame:
+    """archive, file, value, error: the text members of zip, tar, gz and bz2 files, nested in each other or not.
+
+    keep: patterns that a member's name must all match. They are tested by name, before a member is decompressed; only members
+    that are archives themselves are opened for what is in them. One archive is read by one task, a member at a time. A member
+    that can't be read gives a row with a null value and the error, and the others still come.
+    """
+    wanted = [re.compile(k) for k in ([keep] if isinstance(keep, str) else keep)]
+    broken = (OSError, EOFError, ValueError, RuntimeError, NotImplementedError, zlib.error, lzma.LZMAError, zipfile.BadZipFile, tarfile.TarError)
+
+    def inner(name: str) -> str:
+        return name[:-3] if name.endswith(".gz") else name[:-4] if name.endswith(".bz2") else name
+
+    def asked(name: str) -> bool:
+        return name.endswith(_PACKED) and inner(name) == name or inner(name).endswith(_PACKED) or all(w.search(inner(name)) for w in wanted)
+
+    def unpacked(name: str, read: Callable[[], bytes], top: bool = False) -> Iterator[tuple[str, bytes | None, str | None]]:
+        if not top and not asked(name):
+            return
+        try:
+            data = read()
+            if name.endswith(".zip"):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for n in z.namelist():
+                        if not n.endswith("/"):
+                            yield from unpacked(n, lambda n=n: z.read(n))
+            elif name.endswith((".tar", ".tgz", ".tar.gz", ".tar.bz2")):
+                with tarfile.open(fileobj=io.BytesIO(data)) as t:
+                    for m in t:
+                        if m.isfile():
+                            yield from unpacked(m.name, lambda m=m: t.extractfile(m).read())
+            elif name.endswith((".gz", ".bz2")):
+                plain = (gzip if name.endswith(".gz") else bz2).decompress(data)
+                yield from unpacked(inner(name), lambda: plain)
+            elif all(w.search(name) for w in wanted):
+                yield name, data, None
+        except broken as e:
+            yield name, None, f"{type(e).__name__}: {e}"
 
     def run(batches):
         for batch in batches:
             for where, data in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    for n, raw in unpacked(where, data):
-                        if wanted.search(n):
-                            yield pd.DataFrame({"archive": [where], "file": [n], "value": [raw.decode(encoding, "replace")]})
-                except (OSError, EOFError, zipfile.BadZipFile, tarfile.TarError):
-                    continue
+                for n, raw, error in unpacked(where, lambda data=data: data, True):
+                    yield pd.DataFrame({"archive": [where], "file": [n], "value": [raw if raw is None else raw.decode(encoding, "replace")], "error": [error]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, file string, value string")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, file string, value string, error string")
 
 
 def treebank(spark: SparkSession, path: str | list[str], lang=None, sections=None, fields: list[str] | None = None) -> DataFrame:
     """Sentences of the treebank files, plain or archived, of the languages and sections asked for."""
     langs = [lang] if isinstance(lang, str) else list(lang or [])
     asked = [sections] if isinstance(sections, str) else list(sections or [])
-    files = archive_members(spark, path, r"\.conll$")
-    for group in (langs, asked):
-        if group:
-            files = files.where(F.regexp_like("file", F.lit("|".join(rf"(^|[/_.-]){re.escape(x)}([/_.0-9-]|$)" for x in group))))
-    return parse_conll(files.select("file", "value"), fields)
+    named = ["|".join(rf"(^|[/_.-]){re.escape(x)}([/_.0-9-]|$)" for x in group) for group in (langs, asked) if group]
+    files = archive_members(spark, path, [r"\.conll$", *named])
+    return parse_conll(files.where("error is null").select("file", "value"), fields)
 
 
 def treebank_text(sentences: DataFrame) -> DataFrame:
@@ -202,12 +216,12 @@ def newspaper_3(files: DataFrame, fields: list[str] | None = None) -> DataFrame:
 
 
 def newspapers(spark: SparkSession, folder: str, sections=(1, 2, 3), sources: list[str] | None = None, encoding: str = "ISO-8859-1") -> DataFrame:
-    """Articles of the sections, from <folder>/section<N>: archives or plain files, pruned before they are read."""
+    """Articles of the sections, from <folder>/section<N>: archives or plain files, whose members are pruned by name before they are unpacked.
+    Members that can't be read are left out; archive_members() names them."""
     parts = []
     for n in sections:
-        files = archive_members(spark, f"{folder}/section{n}", ".*", encoding if n < 3 else "UTF-8")
-        if sources and n > 1:
-            files = files.where(F.regexp_like("file", F.lit("|".join(map(re.escape, sources)))))
+        named = "|".join(map(re.escape, sources)) if sources and n > 1 else ".*"
+        files = archive_members(spark, f"{folder}/section{n}", named, encoding if n < 3 else "UTF-8").where("error is null")
         rows = {1: newspaper_1, 2: newspaper_2, 3: newspaper_3}[n](files)
         parts.append(rows.where(F.col("source").isin(sources)) if sources and n == 1 else rows)
     out = parts[0]
