@@ -17,13 +17,19 @@ def tokenised(docs: DataFrame, tokens: Tokens = tx.letters, key: str = "doc_id",
     return docs.select(F.col(key), tokens(F.col(text)).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
 
 
+def exploded(rows: DataFrame, tokens: Column | str, *keep: str) -> DataFrame:
+    """keep and ``term``, a row for each token. A plain explode lets Spark infer a filter on the array's size above the scan,
+    which cuts every text into tokens a second time."""
+    return rows.select(*keep, F.explode_outer(tokens).alias("term")).where(F.col("term").isNotNull())
+
+
 def term_frequencies(docs: DataFrame, tokens: Tokens = tx.letters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, term, tf and doc_len: one pre-aggregated shuffle.
 
     The length is a key of the group, so that whatever a query then drops, each use of the counts plans the same exchange
     and the texts are cut into tokens once. A key stands for one document.
     """
-    rows = tokenised(docs, tokens, key, text).select(key, "doc_len", F.explode("tokens").alias("term"))
+    rows = exploded(tokenised(docs, tokens, key, text), "tokens", key, "doc_len")
     return rows.groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf")).select(key, "term", "tf", "doc_len")
 
 
@@ -35,7 +41,7 @@ def relative_frequency(counts: DataFrame, min_count: int = 1) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, tokens: Tokens = tx.letters) -> DataFrame:
-    return docs.select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("count"))
+    return exploded(docs, tokens(F.col("text"))).groupBy("term").agg(F.count("*").alias("count"))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -45,7 +51,7 @@ def document_frequency(tf: DataFrame) -> DataFrame:
 
 def document_ratio(docs: DataFrame, tokens: Tokens = tx.letters) -> DataFrame:
     """term, weight: the share of documents that hold it."""
-    rows = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    rows = exploded(docs, F.array_distinct(tokens(F.col("text"))))
     total = docs.agg(F.count("*").alias("docs"))
     return rows.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", (F.col("df") / F.col("docs")).alias("weight"))  # one row
 
@@ -57,7 +63,7 @@ def idf_log2(docs: DataFrame, tokens: Tokens = tx.letters) -> DataFrame:
 
 def vocabulary(docs: DataFrame, no_below: int = 5, no_above: float = 0.5, keep: int | None = 100_000, tokens: Tokens = tx.letters) -> DataFrame:
     """id, term, df, of the ``keep`` most frequent terms (df desc, term) in at least no_below and at most no_above of the documents."""
-    rows = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    rows = exploded(docs, F.array_distinct(tokens(F.col("text"))))
     total = docs.agg(F.count("*").alias("docs"))
     fits = rows.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= no_below).crossJoin(F.broadcast(total)).where(F.col("df") <= no_above * F.col("docs"))  # one row
     ranked = fits.select("term", "df").orderBy(F.desc("df"), "term")
@@ -70,7 +76,8 @@ def tfidf(docs: DataFrame, normalise: bool = True, tokens: Tokens = tx.letters)
     """doc_id, term, weight: tf * log2(D / df), by default of unit length per document. Terms in all documents weigh nothing and go."""
     tf = term_frequencies(docs, tokens)
     total = docs.agg(F.count("*").alias("docs"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", (-F.log2(F.col("df") / F.col("docs"))).alias("idf"))  # one row
+    # a sum over tf, so that it isn't pruned and the exchange is planned as for the other side of the join
+    idf = tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df")).crossJoin(F.broadcast(total)).select("term", (-F.log2(F.col("df") / F.col("docs"))).alias("idf"))  # one row
     rows = tf.join(idf, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("weight")).where("weight <> 0")
     if not normalise:
         return rows
