@@ -8,7 +8,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from glossa.llm import decontaminate, neardup, packing, quality, rollup, scratch, substrings, suffixes, tokens, urls
+from glossa.llm import decontaminate, neardup, packing, quality, repeats, rollup, scratch, substrings, suffixes, tokens, urls
 from glossa.llm import textbuf as tb
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -138,3 +138,41 @@ def test_empty_and_clashing(spark):
     for _, stage in pipeline.STAGES:
         out = stage(spark, out, SF)
         assert out.count() == 0
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "a ", "x yz "])
+def test_periodic_texts_take_few_positions(unit):
+    """A text of one symbol or one period again and again: a row for each of its ends and phases, not for each of its bytes."""
+    column = pa.array([unit * (50_000 // len(unit)), "", unit * (20_000 // len(unit))])
+    for module in (suffixes, substrings):
+        s = module.search()
+        values, off = s.symbols(column)
+        got = repeats._owners(values, off, s)
+        assert len(got["h"]) < 300
+        # together they own every window once
+        owned = [Counter() for _ in column]
+        for d, a, d0, d1, times in zip(*(got[k].tolist() for k in ("doc", "a", "d0", "d1", "times")), strict=True):
+            owned[d].update(a - d + i * (d1 - d0 + 1) for i in range(times) for d in range(d0, d1 + 1))
+        assert owned == [Counter(range(max(0, n - s.window + 1))) for n in (off[1:] - off[:-1]).tolist()]
+
+
+def test_periodic_texts_among_others(spark):
+    r = random.Random(6)
+    w = [f"w{i}" for i in range(90)]
+    plain = lambda n: " ".join(r.choice(w) for _ in range(n))
+    texts = {0: plain(40) + " a" * 130 + " " + plain(40), 1: "a " * 60, 2: plain(30) + " a" * 200, 3: "x y " * 70, 4: plain(20) + " y x" * 90 + " " + plain(60), 5: "b " * 80, 6: "z" * 1500, 7: plain(9) + "q" * 700, 8: "a " * 49 + "b", 9: "p q r s t " * 40, 10: "q r s t p " * 25 + plain(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for window in (8, 50):
+        first, gone = {}, {d: set() for d in texts}
+        for d, t in texts.items():
+            said = t.split()
+            for i in range(len(said) - window + 1):
+                if first.setdefault(tuple(said[i : i + window]), d) < d:
+                    gone[d] |= set(range(i, i + window))
+        made = {r["doc_id"]: r["text"] for r in substrings.deduplicated(docs, window).collect()}
+        assert {d: (made.get(d) or "").split() for d in texts} == {d: [x for i, x in enumerate(t.split()) if i not in gone[d]] for d, t in texts.items()}
+    times = Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
+    for d, row in by_id(suffixes.repeated_bytes(docs).select("doc_id", "found")).items():
+        t = texts[d]
+        want = {j for i in range(len(t) - 399) if times[t[i : i + 400]] > 1 for j in range(i, i + 400)}
+        assert {j for x in row["found"] or [] for j in range(x["s"], x["e"])} == want
