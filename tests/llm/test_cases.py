@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -176,3 +177,50 @@ def test_periodic_texts_among_others(spark):
         t = texts[d]
         want = {j for i in range(len(t) - 399) if times[t[i : i + 400]] > 1 for j in range(i, i + 400)}
         assert {j for x in row["found"] or [] for j in range(x["s"], x["e"])} == want
+
+
+def test_near_copies_take_few_texts(spark, monkeypatch):
+    """Hundreds of near copies of one text: one component, from a few pairs of texts each and not from all candidates."""
+    r = random.Random(4)
+    base = [f"c{i}" for i in range(200)]
+    texts = []
+    for _ in range(600):
+        w = list(base)
+        for k in r.sample(range(200), r.randint(1, 4)):
+            w[k] = f"n{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted, links = [], neardup._links
+    monkeypatch.setattr(neardup, "_links", lambda pairs, *rest: (counted.append(pairs.count()), links(pairs, *rest))[1])
+    found = {x["k1"]: x["component"] for x in neardup.grouped(docs)[1].collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+    for j in range(len(sets)):
+        for i in range(j):
+            if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert found == dict(enumerate(root))
+    assert sum(counted) <= 40 * len(texts), counted
+
+
+def test_bucket_counts_bound_what_sets_share():
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(4000)]
+    texts = ["", "a", " ".join(words)]
+    for n in (3, 9, 40, 66, 300, 2000):
+        base = [r.choice(words) for _ in range(n)]
+        for share in (0, 0.02, 0.1, 0.3, 1):
+            texts.append(" ".join(f"{i}y" if r.random() < share else w for i, w in enumerate(base)))
+        texts.append(" ".join(base[: n - n // 8]))
+    h, off = neardup.shingles(pa.array(texts))
+    flat, first = tb.parts(neardup._counted(h, off))
+    x, y = (np.array(v) for v in zip(*((i, j) for i in range(len(texts)) for j in range(i)), strict=True))
+    most = neardup._most_shared(flat, first, x, y)
+    sets = [set(h[a:b].tolist()) for a, b in zip(off[:-1], off[1:], strict=True)]
+    both = np.array([len(sets[i] & sets[j]) for i, j in zip(x, y, strict=True)])
+    assert (most >= both).all()
+    size = np.diff(off)
+    passed = 185 * most >= 85 * (size[x] + size[y])
+    alike = 100 * both >= 85 * (size[x] + size[y] - both)
+    assert (passed | ~alike).all() and alike.sum() >= 6 and passed.sum() <= 2 * alike.sum() + 4
