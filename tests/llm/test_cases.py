@@ -224,3 +224,30 @@ def test_bucket_counts_bound_what_sets_share():
     passed = 185 * most >= 85 * (size[x] + size[y])
     alike = 100 * both >= 85 * (size[x] + size[y] - both)
     assert (passed | ~alike).all() and alike.sum() >= 6 and passed.sum() <= 2 * alike.sum() + 4
+
+
+def found_spans(docs):
+    names = ("s", "e", "src_k1", "src_k2", "src_s", "step", "times")
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in names]))
+    return pa.RecordBatch.from_arrays([pa.array([[dict(zip(names, x, strict=True)) for x in d] for d in docs], kind)], ["found"])
+
+
+def test_runs_are_parsed_without_listing_them():
+    """A run of windows is parsed as if each was there, but in a few rows however often it comes."""
+    part = found_spans([[(0, 50, 1, 2, 0, 1, 5_000_000)]])
+    assert len(substrings.matches(part)["s"]) <= 3
+    f = substrings.factors(substrings.matches(part))
+    assert f["start"].tolist() == list(range(0, 5_000_000, 50)) + [5_000_000] and f["end"].tolist() == [*range(50, 5_000_001, 50), 5_000_049]
+    r = random.Random(12)
+    for _ in range(300):
+        docs = [[(s := r.randrange(60), s + r.randint(8, 14), r.randrange(3), 0, r.randrange(9), r.randint(1, 6), r.choice([1, 1, 2, 3, 9])) for _ in range(r.randint(0, 6))] for _ in range(3)]
+        plain = [[(s + i * step, e + i * step, a, b, c, 1, 1) for s, e, a, b, c, step, times in d for i in range(times)] for d in docs]
+        got, want = (substrings.factors(substrings.matches(found_spans(x))) for x in (docs, plain))
+        for x in (got, want):
+            covered = [set() for _ in docs]
+            for d, s, e in zip(x["doc"].tolist(), x["back"].tolist(), x["end"].tolist(), strict=True):
+                covered[d] |= set(range(s, e))
+            assert covered == [{j for s, e, *_ in d for j in range(s, e)} for d in plain]
+        # each factor is what its match says: a copy of the source at that shift
+        for d, start, end, source, at in zip(*(got[k].tolist() for k in ("doc", "start", "end", "source", "source_start")), strict=True):
+            assert all(any(s <= j < e and a == source and c - s == at - start for s, e, a, _, c, *_ in plain[d]) for j in range(start, end))
