@@ -213,7 +213,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
             for part, (_, hit, _) in zip(parts, search(parts, blocks), strict=True):
                 yield part.filter(pa.array(hit == 0))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return scratch.kept(docs, scan)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

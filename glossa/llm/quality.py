@@ -145,7 +145,7 @@ def passing(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
             for part in tb.chunks(batch):
                 yield part.filter(pa.array(measure(part, rules)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return scratch.kept(docs, run)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,3 +251,17 @@ def test_runs_are_parsed_without_listing_them():
         # each factor is what its match says: a copy of the source at that shift
         for d, start, end, source, at in zip(*(got[k].tolist() for k in ("doc", "start", "end", "source", "source_start")), strict=True):
             assert all(any(s <= j < e and a == source and c - s == at - start for s, e, a, _, c, *_ in plain[d]) for j in range(start, end))
+
+
+def test_odd_column_names(spark):
+    """Stages pass on columns whose names are no identifiers, nested ones too."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    texts = [passage + " one " + " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30)) + " " + passage]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z", len(t), (i,)) for i, t in enumerate(texts)], ["doc_id", "text", "a b", "c-d", "e.f`g", "n_chars", "<n>"])
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {tuple(r[2:5]) for r in out.collect()} == {("x", "y", "z")}
+    left = {r[0]: r for r in substrings.deduplicated(docs).collect()}
+    cut = texts[1].replace(" " + passage, "")
+    assert left[0][1] == texts[0] and left[1][1] == cut and left[1][5] == len(cut) and left[1][6][0] == 1
