@@ -123,7 +123,7 @@ SELECT CASE WHEN l.term IS NULL OR pos = 'ADJ' THEN form WHEN pos = 'NOUN' THEN
 def lemmatize_by_pos(spark, sf_dir):
     """Lemmas by part of speech, from a lexicon of the corpus' own terms: two lines for a noun, the last one a verb's."""
     docs = _docs(spark, sf_dir)
-    often = terms.document_frequency(terms.term_frequencies(docs)).where("df >= 5")
+    often = terms.by_document(docs).where("df >= 5")
     lines = F.array(*(F.struct(F.lit(pos).alias("pos"), F.concat(F.col("term"), F.lit(end)).alias("lemma"), F.lit(i).alias("line_no")) for i, (pos, end) in enumerate((("NOUN", "-n1"), ("NOUN", "-n2"), ("VERB", "-v")))))
     lexicon = often.select(F.col("term").alias("fullform"), F.inline(lines))
     kind = F.length("token") % 4
