@@ -127,3 +127,13 @@ def test_first_letters_of_one_character(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.upper_first(F.col("t")), tx.lower_first(F.col("t"))).collect()
     want = duckdb.sql("select t, upper(t[1]) || t[2:], lower(t[1]) || t[2:] from (select unnest($texts) as t)", params={"texts": texts}).fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_bag_of_words_whole_vocabulary(spark, tmp_path):
+    """Its SQL has no limit, so more terms than the operator keeps by default all have an id."""
+    from glossa.plans import registry
+
+    text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(100_001))
+    spark.createDataFrame([(i, text if i < 5 else "x") for i in range(11)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.bag_of_words(spark, str(tmp_path)).agg(F.count("*"), F.count_distinct("id"), F.max("id")).first()
+    assert tuple(got) == (500_005, 100_001, 100_000)
