@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import counts
 from ..functions import text as tx
 from ..operators import keywords, linguistics, terms, topics, wikitext
 from ..sources import corpora
@@ -15,6 +16,7 @@ from .registry import _HITS, _LLR, _TAG, CASED, TF, TOK, _docs, _rounded, query
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -47,3 +47,30 @@ def test_hits_held_as_joined(spark, cells, monkeypatch):
     joined = topics.hits(asked, docs, n=3)
     assert held.schema["doc_id"].dataType == joined.schema["doc_id"].dataType
     assert sorted(map(tuple, held.collect())) == sorted(map(tuple, joined.collect()))
+
+
+def test_batches_are_bounded(spark, tmp_path, monkeypatch):
+    """A worker's memory doesn't follow the number of rows of a file."""
+    from glossa.plans import formats
+
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    old = [spark.conf.get(k) for k in keys]
+    monkeypatch.setattr(counts, "BATCH_ROWS", 50)
+    spark.range(300).selectExpr("id as doc_id", "'a' as text", "'x' as source", "'en' as lang", "1l as n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"])
+
+    try:
+        for read in (registry._docs, registry._docs_all, formats._all):
+            spark.conf.set(keys[0], "10000")
+            assert read(spark, str(tmp_path)).select("doc_id").mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 50
+        spark.conf.set(keys[0], "7")
+        counts.small_batches(spark)
+        assert spark.conf.get(keys[0]) == "7"
+    finally:
+        for k, v in zip(keys, old, strict=True):
+            spark.conf.set(k, v)
