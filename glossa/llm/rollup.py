@@ -73,10 +73,15 @@ class Ledger:
     def _publish(self, kind: str, name: str, said: dict) -> bool:
         """Puts a marker into place in one step; False if there is one."""
         new, at = self._path("pending", uuid.uuid4().hex), self._path(kind, name)
-        out = self._fs.create(new, False)
+        local = self._fs.getScheme() == "file"
+        # a local file's checksum is a file of its own, which could be another writer's: such markers have none
+        fs = self._fs.getRaw() if local else self._fs
+        out = fs.create(new, False)
         out.write(json.dumps(said).encode())
         out.close()
         self._fs.mkdirs(self._path(kind))
+        if local:
+            return self._linked(new, at)
         context = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         never_over = self.spark._sc._gateway.new_array(self._hadoop.Options.Rename, 0)
         try:
@@ -88,6 +93,19 @@ class Ledger:
             return False
         return True
 
+    def _linked(self, new, at) -> bool:
+        """Of local files, a rename looks before it moves, so that of two writers both may; only one can make a link."""
+        file = lambda p: self.spark._jvm.java.io.File(p.toUri().getPath())
+        try:
+            self.spark._jvm.java.nio.file.Files.createLink(file(at).toPath(), file(new).toPath())
+        except Exception as e:
+            if not self._fs.exists(at):
+                raise PySparkException(f"can't commit {at.getName()}") from e
+            return False
+        finally:
+            self._fs.getRaw().delete(new, False)
+        return True
+
     def _said(self, kind: str, name: str) -> dict:
         stream = self._fs.open(self._path(kind, name))
         try:

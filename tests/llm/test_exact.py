@@ -404,6 +404,24 @@ def test_rollup_two_writers(spark):
     assert list(map(tuple, ledger.totals().collect())) == [("a", "en", "v", 1, 5)]
 
 
+def test_rollup_markers_of_many_writers(spark):
+    """Of writers of one marker at one time exactly one counts, and the marker is readable."""
+    ledger = rollup.Ledger(spark, scratch.path(spark, "ledger"))
+    writers = 4
+    meet = Barrier(writers)
+
+    def publish(name, i):
+        meet.wait(60)
+        return ledger._publish("batches", name, {"data": str(i) * 10**i})
+
+    with ThreadPoolExecutor(writers) as pool:
+        for k in range(60):
+            won = [f.result() for f in [pool.submit(publish, f"m{k}", i) for i in range(writers)]]
+            assert sum(won) == 1
+            assert ledger._said("batches", f"m{k}") == {"data": str(won.index(True)) * 10 ** won.index(True)}
+    assert ledger.committed() == sorted(f"m{k}" for k in range(60)) and not ledger._names("pending")
+
+
 def test_op4_query(spark):
     sf = "/root/testdata/sf0.001"
     toxic = {}
